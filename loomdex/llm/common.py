@@ -26,26 +26,42 @@ def work_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/loomdex"
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: later plans start from the files, whichever executors are lost."""
+    """Writes df as Parquet into the shared folder and rereads it: later plans start from the files, whichever executors are lost.
+
+    The JVM then collects its garbage, on which Spark drops the shuffle files of what has been written.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomdex_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialise()d tables that nothing will read again."""
+    for path in [t._loomdex_path for t in tables]:
+        _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def clear() -> None:
-    """Removes what materialise() wrote; results that read it must have been consumed."""
+    """Removes all that materialise() wrote; results that read it must have been consumed."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
@@ -63,13 +79,15 @@ def components(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = materialise(e.union(e.select("v", "u")).distinct(), f"{label}-edges")
     lab = e.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("l"))
-    lab = materialise(lab, f"{label}-0")
+    lab = lab_table = materialise(lab, f"{label}-0")
     for k in range(1, 60):
         near = e.join(lab.select(F.col("node").alias("v"), F.col("l").alias("m")), "v").groupBy("u").agg(F.min("m").alias("m"))
         step = lab.join(near, lab.node == near.u, "left").select("node", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
         jump = lab.select(F.col("node").alias("l"), F.col("l").alias("j"))
-        new = materialise(step.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("j", "l")).alias("l")), f"{label}-{k}")
-        lab = new.select("node", "l")
+        old, new = lab_table, materialise(step.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("j", "l")).alias("l")), f"{label}-{k}")
+        discard(old)
+        lab, lab_table = new.select("node", "l"), new
         if new.where("was <> l").isEmpty():
+            discard(e)
             return lab.select("node", F.col("l").alias("component"))
     raise RuntimeError(f"{label}: components did not settle")

@@ -7,7 +7,8 @@ links' connected components come out, by these steps:
    found in no other set can't be shared, so a set with more than a fifth of such shingles links with nothing. Shingles
    that a chunk holds several times leave it once: no key grows with its frequency.
 2. Equal sets collapse to their smallest doc_id; the remaining texts are read again as full sets.
-3. Linked sets share one of their 0.2 n + 1 smallest shingles (prefix filter), so stars over those give families.
+3. Linked sets share one of their 0.2 n + 1 rarest shingles (prefix filter), so stars over those give families. Shingle
+   frequencies are counted by hash range in the same chunked way, and returned to the chunks.
 4. A signature tree joins each family: nodes hold OR-combined token bitmaps and size ranges, and a traversal of node
    pairs drops those whose greatest possible overlap is too small, and those already in one component. Large families
    are cut into blocks; after the blocks' own joins and a pivot per family, only the sets outside the main component
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, discard, materialise
 
 K = 5
 #: Sets up to FULL shingles count all of them, larger ones those in the lower half of the hash space; those up to
@@ -170,24 +171,69 @@ def _alone_sum(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()] * len(total), pa.int64()), "idx": pa.array(range(len(total)), pa.int32()), "alone": pa.array(total, pa.int64())})
 
 
-_SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
+_SETS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("rng", pa.int32()), ("counts", pa.binary())])
+_SETS_DDL = "rep long, n long, k1 long, k2 long, chunk long, tokens binary, rng int, counts binary"
 
 
-def _full_sets(batches):
-    words = _Words()
-    for b in batches:
-        ids, sets = b.column(0), [shingle_set(x.as_py(), words) for x in b.column(1)]
-        keys = [_digest(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SETS)
+def _full_sets(range_bits: int):
+    """A row for each document's set (rng null); per chunk and hash range, its distinct shingles and how many sets have each."""
 
+    def rows(**cols):
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _SETS], schema=_SETS)
 
-def _prefixes(batches):
-    """A row for each of a set's 0.2 n + 1 smallest shingles."""
-    for b in batches:
-        for rep, raw in zip(b.column("rep").to_pylist(), b.column("tokens"), strict=True):
-            s = np.frombuffer(raw.as_py(), np.int64)
-            p = s[: len(s) // 5 + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.full(len(p), rep))], names=["token", "rep"])
+    def counts(chunk, sets):
+        t, c = np.unique(np.concatenate(sets), return_counts=True)
+        edges = np.searchsorted(t >> np.uint64(64 - range_bits), np.arange((1 << range_bits) + 1, dtype=np.uint64))
+        spans = [(k, i, j) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+        return rows(chunk=[chunk] * len(spans), rng=[k for k, _, _ in spans], tokens=[t[i:j].tobytes() for _, i, j in spans], counts=[c[i:j].astype(np.uint32).tobytes() for _, i, j in spans])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        words, seq, part, held = _Words(), 0, TaskContext.get().partitionId(), []
+        for b in batches:
+            out = {c: [] for c in ("rep", "n", "k1", "k2", "chunk", "tokens")}
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingle_set(text.as_py(), words)
+                if held and sum(map(len, held)) + len(s) > CHUNK_TOKENS:
+                    yield counts(part << 24 | seq, held)
+                    held, seq = [], seq + 1
+                if len(s):
+                    held.append(s)
+                    for c, v in zip(out, (doc, len(s), *_digest(s), part << 24 | seq, s.tobytes()), strict=True):
+                        out[c].append(v)
+            yield rows(**out)
+        if held:
+            yield counts(part << 24 | seq, held)
+
+    return run
+
+
+def _frequencies(t: pa.Table) -> pa.Table:
+    """One hash range: for each chunk's shingles, how many sets of all chunks have them."""
+    own = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]
+    number = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("counts")])
+    _, inv = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(inv, number)[inv].astype(np.uint32)
+    cuts = np.cumsum([len(x) for x in own])[:-1]
+    return pa.table({"chunk": t.column("chunk"), "rng": t.column("rng"), "df": pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary())})
+
+
+def _prefixes(sets: pa.Table, freq: pa.Table) -> pa.Table:
+    """One chunk: each set's 0.2 n + 1 rarest shingles (ties by hash), without those that no other set has."""
+    reps = sets.column("rep").to_pylist()
+    own = [np.frombuffer(x.as_py(), np.uint64) for x in sets.column("tokens")]
+    df = np.concatenate([np.frombuffer(x, np.uint32) for _, x in sorted(zip(freq.column("rng").to_pylist(), freq.column("df").to_pylist(), strict=True))])
+    every = np.unique(np.concatenate(own))
+    token, rep = [], []
+    for r, s in zip(reps, own, strict=True):
+        d = df[np.searchsorted(every, s)]
+        at = np.lexsort((s, d))[: len(s) // 5 + 1]
+        at = at[d[at] > 1]
+        token.append(s[at].view(np.int64))
+        rep.append(np.full(len(at), r, np.int64))
+    return pa.table({"token": pa.array(np.concatenate(token)), "rep": pa.array(np.concatenate(rep))})
 
 
 class Forest:
@@ -376,44 +422,48 @@ def _profile(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    made, _, width = _profile(docs)
-    profile = made.where("rng is null").select("doc_id", "n", "k1", "k2", "chunk", "idx")
+    made, bits, width = _profile(docs)
+    profile = materialise(made.where("rng is null").select("doc_id", "n", "k1", "k2", "chunk", "idx"), "profile")
     alone = made.where("rng is not null").select("chunk", "rng", "alone", "owner", "shared").groupBy("rng").applyInArrow(_alone_counter(width), "chunk long, counts binary").groupBy("chunk").applyInArrow(_alone_sum, "chunk long, idx int, alone long")
     # smallest doc_id of each distinct set; those with a fifth of their shingles unshared at most can link
     classes = profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     able = profile.where("n > 0 and doc_id is not null").join(alone, ["chunk", "idx"]).where("5 * alone <= n").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     able = materialise(able.select("k1", "k2", F.col("rep").alias("doc_id")), "able")
+    discard(made)
     # a doc_id that stands for several texts (bad input) is told apart by the digest
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets, "rep long, n long, k1 long, k2 long, tokens binary")
-    sets = materialise(sets.where("n > 0"), "sets")
-    stars = sets.select("rep", "tokens").mapInArrow(_prefixes, "token long, rep long")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(bits), _SETS_DDL)
+    made = materialise(made, "sets")
+    sets = made.where("rng is null").select("rep", "n", "chunk", "tokens")
+    freq = made.where("rng is not null").select("chunk", "rng", "tokens", "counts").groupBy("rng").applyInArrow(_frequencies, "chunk long, rng int, df binary")
+    stars = materialise(sets.groupBy("chunk").cogroup(freq.groupBy("chunk")).applyInArrow(_prefixes, "token long, rep long"), "prefixes")
     hubs = stars.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("token", "hub")
     near = stars.join(hubs, "token").where("rep <> hub").select("rep", "hub").distinct()
     family = components(near, "rep", "hub", "families")
     held = materialise(sets.join(family, sets.rep == family.node).select("rep", "n", "tokens", F.col("component").alias("family")), "held")
+    discard(made, stars)
     per = held.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
     large = per.where((F.col("members") > BLOCK_SETS) | (F.col("mass") > BLOCK_TOKENS))
     blocks = large.select("family", F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("mass") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     dealt = held.join(blocks, "family", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
-    links = _dealt(dealt.select(F.concat_ws(":", "family", "block").alias("task"), "rep", "n", "tokens"))
+    tasks = dealt.select(F.concat_ws(":", "family", "block").alias("task"), "rep", "n", "tokens")
     if large.isEmpty():
-        links = materialise(links, "links")
+        links = materialise(_dealt(tasks), "links")
     else:
-        links = _large(dealt.where("blocks is not null"), links)
+        links = _large(dealt.where("blocks is not null"), tasks)
+    discard(held)
     comp = components(links, "a", "b", "links")
     out = profile.join(classes, ["k1", "k2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     empty = F.when(F.col("n") == 0, F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(empty, "component", "rep")).alias("component_id"))
 
 
-def _large(dealt: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of families of several blocks: the blocks' own, those to a pivot set, then what is outside each family's
-    main component against all blocks."""
+def _large(dealt: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Links of all tasks; families of several blocks (dealt) also join each block to a pivot set, and then what is
+    outside each family's main component to all blocks."""
     pivot = dealt.groupBy("family").agg(F.max_by(F.struct("rep", "n", "tokens"), F.struct("n", "rep")).alias("p"))
-    # each block once more with the family's pivot: one row more for each block
-    tasks = dealt.select("family", "block").distinct().join(pivot, "family").select(F.concat_ws(":", "family", "block").alias("task"), "p.rep", "p.n", "p.tokens")
-    mine = dealt.select(F.concat_ws(":", "family", "block").alias("task"), "rep", "n", "tokens")
-    links = materialise(links.union(_dealt(mine.union(tasks).dropDuplicates(["task", "rep"]))), "links-blocks")
+    # each block gets its family's pivot as one row more
+    pivots = dealt.select("family", "block").distinct().join(pivot, "family").select(F.concat_ws(":", "family", "block").alias("task"), "p.rep", "p.n", "p.tokens")
+    links = materialise(_dealt(tasks.union(pivots)), "links-blocks")
     comp = components(links, "a", "b", "blocks")
     placed = dealt.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     main = placed.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
