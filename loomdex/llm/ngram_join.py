@@ -431,7 +431,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     able = materialise(able.select("k1", "k2", F.col("rep").alias("doc_id")), "able")
     discard(made)
     # a doc_id that stands for several texts (bad input) is told apart by the digest
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(bits), _SETS_DDL)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(able.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(bits), _SETS_DDL)
     made = materialise(made, "sets")
     sets = made.where("rng is null").select("rep", "n", "chunk", "tokens")
     freq = made.where("rng is not null").select("chunk", "rng", "tokens", "counts").groupBy("rng").applyInArrow(_frequencies, "chunk long, rng int, df binary")
