@@ -4,9 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm.common import materialise
+from loomdex.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from loomdex.llm.common import materialise, table
 
-STAGES: list = []
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, judged against references from these documents."""
+    return quality_rules.keep_good(docs)
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines."""
+    return line_dedup.without_repeats(docs)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs).drop("draws")
+
+
+STAGES = [("quality", _quality), ("line_dedup", _lines), ("near_duplicates", _near), ("decontamination", _decontaminate), ("mixing", _mix)]
+#: SQL can't state the distances of the first stage; the stages are tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 

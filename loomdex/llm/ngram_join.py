@@ -473,3 +473,10 @@ def _large(dealt: DataFrame, tasks: DataFrame) -> DataFrame:
     theirs = placed.join(left, "family").select(F.concat_ws(":", "family", "rblock", "block").alias("task"), "rep", "n", "tokens", "comp", "residual")
     own = placed.where("residual").select("family", F.col("block").alias("rblock"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "tokens", "comp", "residual").where("block <> rblock").select(F.concat_ws(":", "family", "rblock", "block").alias("task"), "rep", "n", "tokens", "comp", "residual")
     return materialise(links.union(_dealt(theirs.union(own))), "links-all")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, same columns, without the documents whose component has a smaller doc_id. Rows with a null doc_id stay; repeated
+    rows of one doc_id stay or go together."""
+    later = jaccard_components(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
