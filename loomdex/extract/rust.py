@@ -104,7 +104,7 @@ def extract(text: str) -> tuple[list[dict], str]:
         kw = m["kw"].replace(" ", "").removesuffix("!")
         if kw != "impl" and not m["name"] or kw in ("const", "static") and m["name"] in ("fn", "_"):
             continue
-        end, head = end_of(m.end())
+        end, head = end_of(m.end("kw") if kw == "impl" else m.end())
         items.append((m, kw, m.start(), end, head))
     for m, kw, start, end, head in items:
         while open_items and open_items[-1]["end"] <= start:
@@ -127,7 +127,7 @@ def extract(text: str) -> tuple[list[dict], str]:
         testing = cfg or bool(parent and parent["testing"])
         item = {"end": end, "kw": kw, "testing": testing, "scope": parent["scope"] if parent else [], "trait": None}
         if kw == "impl":
-            sign = re.sub(r"\s+", " ", code[m.end() : head]).strip()
+            sign = re.sub(r"\s+", " ", code[m.end("kw") : head]).strip()
             if sign.startswith("<"):
                 depth = 0
                 for k, c in enumerate(sign):

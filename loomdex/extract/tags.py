@@ -64,7 +64,7 @@ def extract(text: str, lang: str) -> list[dict]:
     line = lambda k: text.count("\n", 0, k) + 1
     out, seen = [], set()
     for pattern, kind in SPECS[lang]:
-        for m in re.finditer(rf"(?m)^[ \t]*(?:@\w+[^\n]*\n[ \t]*)*{pattern}" if not pattern.startswith("(?m)") else pattern, code):
+        for m in re.finditer(rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?:@\w+[^\n]*\n[ \t]*)*{pattern}", code):
             name = m[2] if kind is None else m[1]
             if name in _KEYWORDS or (spot := m.start(2 if kind is None else 1)) in seen:
                 continue

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def encode_anchor(c: Column | str) -> Column:
@@ -30,7 +31,7 @@ def decode_anchor_text(text: str | None) -> str | None:
     return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_anchor(s: pd.Series) -> pd.Series:
     return s.map(decode_anchor_text)
 

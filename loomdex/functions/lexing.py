@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no meaning in a question.
 STOP_WORDS = [
@@ -47,7 +48,7 @@ def tokens(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(strip_raw(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0)), F.lower)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, for text that may not be composed."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -82,12 +83,13 @@ def display_signature(c: Column | str) -> Column:
 IDENTIFIER = r"[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*"
 
 
-def atom_kind(c: Column, lone: Column, known_path: Column = F.lit(False)) -> Column:
+def atom_kind(c: Column, lone: Column, known_path: Column | None = None) -> Column:
     """path, qualified or symbol for a word of a question, else null. lone: whether it is the only word; known_path: whether it names an indexed file."""
     qualified = (c.contains("::") & c.rlike(rf"^{IDENTIFIER}(?:::{IDENTIFIER})+$")) | (~c.contains("::") & c.contains(".") & c.rlike(rf"^{IDENTIFIER}(?:\.{IDENTIFIER})+$"))
     name = c.rlike(f"^{IDENTIFIER}$")
     shaped = name & (c.contains("_") | c.rlike(r"\p{Ll}\p{Lu}"))
-    return F.when(c.contains("/") | known_path, "path").when(qualified, "qualified").when(shaped | (lone & name), "symbol")
+    path = c.contains("/") if known_path is None else c.contains("/") | known_path
+    return F.when(path, "path").when(qualified, "qualified").when(shaped | (lone & name), "symbol")
 
 
 _PAIRS = {"`": "`", '"': '"', "'": "'", "(": ")", "[": "]", "{": "}"}

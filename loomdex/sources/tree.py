@@ -68,7 +68,8 @@ def discover(tree: DataFrame, langs: list[str] | None = None, globs: list[str] =
         t = t.where(F.col("lang").isin(*langs))
     head = F.decode(F.substring("content", 1, 2048), "utf-8")
     out = t.select("path", "lang", languages.is_generated("path", head).alias("generated"), languages.is_test("path", "lang").alias("is_test"), "content")
-    return out.orderBy("path").limit(most) if most is not None else out
+    out = out.orderBy("path")
+    return out if most is None else out.limit(most)
 
 
 def blob_oid(content: Column, bits: int = 160) -> Column:
