@@ -16,6 +16,7 @@ null doc_ids keep a row each. Null items, and items without words, have no windo
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ _DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 
 def _shard(ids: list, texts: list[list[bytes]], items, symbol, windows, short):
     sizes = [len(t) for t in texts]
-    flat = np.fromiter((symbol.get(w, 1) for t in texts for w in [*t, b""]), np.int64, sum(sizes) + len(sizes))
+    flat = np.fromiter(map(symbol.get, chain.from_iterable((*t, b"") for t in texts), repeat(1)), np.int64, sum(sizes) + len(sizes))
     start = np.r_[0, np.cumsum(np.array(sizes, np.int64) + 1)]
     spans, found = [[] for _ in ids], [set() for _ in ids]
     # runs of benchmark words that some window can fit into
@@ -152,13 +153,19 @@ def _shard(ids: list, texts: list[list[bytes]], items, symbol, windows, short):
         index = FMIndex(held, len(symbol) + 2)
         for m, (rows, owners) in windows.items():
             lo, hi = index.search(rows)
-            for w in np.flatnonzero(lo < hi).tolist():
-                at = index.locate(np.arange(lo[w], hi[w]))
-                run = np.searchsorted(base, at, "right") - 1
-                at = a[run] + at - base[run]
-                for d, p in zip((np.searchsorted(start, at, "right") - 1).tolist(), at.tolist(), strict=True):
-                    spans[d].append((p - int(start[d]), p - int(start[d]) + m))
-                    found[d].update(owners[w])
+            hit = np.flatnonzero(lo < hi)
+            if not len(hit):
+                continue
+            # all occurrences of all windows are located together
+            count = hi[hit] - lo[hit]
+            which = np.repeat(hit, count)
+            at = index.locate(np.arange(len(which)) - np.repeat(np.cumsum(count) - count - lo[hit], count))
+            run = np.searchsorted(base, at, "right") - 1
+            at = a[run] + at - base[run]
+            doc = np.searchsorted(start, at, "right") - 1
+            for w, d, p in zip(which.tolist(), doc.tolist(), (at - start[doc]).tolist(), strict=True):
+                spans[d].append((p, p + m))
+                found[d].update(owners[w])
     out = {f.name: [] for f in _OUT}
     for d, doc in enumerate(ids):
         merged: list = []
