@@ -67,7 +67,7 @@ _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int6
 
 
 def _corpus_counts(batches):
-    """(lang, word, n) per task; character classes as words that start with a zero character."""
+    """(lang, word, n) per task; character classes, and the total of words, as words that start with a zero character."""
     held: dict = {}
 
     def out():
@@ -80,7 +80,9 @@ def _corpus_counts(batches):
             if lang is None or not (text := text.as_py()):
                 continue
             c = held.setdefault(lang, Counter())
-            c.update(plain_words(text.encode("utf-8", "surrogatepass").split()))
+            words = plain_words(text.encode("utf-8", "surrogatepass").split())
+            c.update(words)
+            c["\0total"] += len(words)
             for k, n in enumerate(char_classes(text).tolist()):
                 c[f"\0{k}"] += n
         if sum(map(len, held.values())) > FLUSH:
@@ -94,22 +96,21 @@ def references(docs: DataFrame) -> tuple[list[str], np.ndarray, list[str], np.nd
     counts = docs.select("lang", "text").mapInArrow(_corpus_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     is_class = F.col("word").startswith("\0")
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    # one row per language carries the total; the window sees a language's words after the rank filter only
+    # the window sees a language's words after the rank filter only: COMMON_MOST, and the classes and the total
     counts = counts.withColumn("kind", is_class)
-    total = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
-    best = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_MOST).drop("r")
-    rows = best.join(total, "lang").where(F.col("kind") | (F.col("n") >= F.col("total") * COMMON_SHARE)).collect()
+    rows = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_MOST).collect()
+    total = {r.lang: r.n for r in rows if r.word == "\0total"}
     langs = sorted({r.lang for r in rows})
-    vocab = sorted({r.word for r in rows if not r.kind and r.word})
+    rows = [r for r in rows if r.word != "\0total" and (r.kind or r.word and r.n >= total[r.lang] * COMMON_SHARE)]
+    vocab = sorted({r.word for r in rows if not r.kind})
     chars, commons = np.zeros((len(langs), CLASSES)), np.zeros((len(langs), len(vocab) + 1))
     at, where = {g: i for i, g in enumerate(langs)}, {w: i for i, w in enumerate(vocab)}
     for r in rows:
         if r.kind:
             chars[at[r.lang], int(r.word[1:])] = r.n
-        elif r.word:
+        else:
             commons[at[r.lang], where[r.word]] = r.n
-        commons[at[r.lang], -1] = r.total
-    commons[:, -1] -= commons[:, :-1].sum(axis=1)
+    commons[:, -1] = np.array([total[g] for g in langs]) - commons[:, :-1].sum(axis=1)
     return langs, chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), vocab, commons / np.maximum(commons.sum(axis=1, keepdims=True), 1)
 
 
