@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import encoding, languages, lexing
 from ..operators import checks, cochange, delta, exact, graph, index, quality, ranking, routes, scopes, spans
 from ..sources import tree
+from ..sources.lineage import cut
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -34,7 +35,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _doc_postings(spark, d) -> DataFrame:
-    return index.postings(index.term_bags(_t(spark, d, "documents"), {"body": "text"}, "doc_id"))
+    """Postings of documents. Several steps read them, so they are written once, as a stored index would be."""
+    return cut(index.postings(index.term_bags(_t(spark, d, "documents"), {"body": "text"}, "doc_id")))
 
 
 def _part_symbols(spark, d) -> DataFrame:
