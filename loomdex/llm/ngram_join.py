@@ -427,7 +427,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alone = made.where("rng is not null").select("chunk", "rng", "alone", "owner", "shared").groupBy("rng").applyInArrow(_alone_counter(width), "chunk long, counts binary").groupBy("chunk").applyInArrow(_alone_sum, "chunk long, idx int, alone long")
     # smallest doc_id of each distinct set; those with a fifth of their shingles unshared at most can link
     classes = profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    able = profile.where("n > 0 and doc_id is not null").join(alone, ["chunk", "idx"]).where("5 * alone <= n").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    able = profile.where("n > 0 and doc_id is not null").join(alone, ["chunk", "idx"], "left").where("5 * coalesce(alone, 0) <= n").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     able = materialise(able.select("k1", "k2", F.col("rep").alias("doc_id")), "able")
     discard(made)
     # a doc_id that stands for several texts (bad input) is told apart by the digest
