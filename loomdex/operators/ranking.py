@@ -45,20 +45,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def streams(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, field, term, symbol_id, tf, df, document_count, avg for the terms of questions (query_id, term).
+def streams(post: DataFrame, terms: DataFrame) -> DataFrame:
+    """field, term, symbol_id, tf, df of the terms that some question (query_id, term) has: one list for each field and term.
 
     The postings are first cut to the terms asked for; df is counted there, which is all of a term's list.
     """
     asked = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = stats.select("field", F.col("document_count").cast("double").alias("document_count"), (F.col("total_term_frequency") / F.col("document_count")).alias("avg"))
-    return asked.join(df, ["field", "term"]).join(stats, "field").join(terms, "term")
+    return asked.join(asked.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+
 
+def candidates(opened: DataFrame, terms: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """query_id, symbol_id, rarest_df, matched_terms, place: the retained union; rows up to one past the bound, whose place tells.
 
-def candidates(opened: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """query_id, symbol_id, rarest_df, matched_terms, place: the retained union; rows up to one past the bound, whose place tells."""
-    union = opened.groupBy("query_id", "symbol_id").agg(F.min("df").alias("rarest_df"), F.countDistinct("term").alias("matched_terms"))
+    Fields fold into one row for each term and symbol before questions multiply them, so the union needs no distinct count.
+    """
+    per = opened.groupBy("term", "symbol_id").agg(F.min("df").alias("df"))
+    union = per.join(terms.select("query_id", "term"), "term").groupBy("query_id", "symbol_id").agg(F.min("df").alias("rarest_df"), F.count("*").alias("matched_terms"))
     order = Window.partitionBy("query_id").orderBy("rarest_df", F.desc("matched_terms"), "symbol_id")
     return union.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile.retained + 1)
 
@@ -73,12 +75,15 @@ def _per_field(values: dict) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("field"))
 
 
-def scores(opened: DataFrame, kept: DataFrame, lengths: DataFrame, profile: Profile = Profile()) -> DataFrame:
+def scores(opened: DataFrame, terms: DataFrame, cands: DataFrame, lengths: DataFrame, stats: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """query_id, symbol_id, score (millionths, half up) of the retained candidates only.
 
+    The retained candidates meet the lists by symbol and term, so the whole union is never built with its frequencies.
     Contributions are added in one order (term, then field) so that the sum doesn't depend on the partitioning.
     """
-    rows = opened.join(kept.where(F.col("place") <= profile.retained).select("query_id", "symbol_id"), ["query_id", "symbol_id"]).join(lengths, ["field", "symbol_id"])
+    kept = cands.where(F.col("place") <= profile.retained).select("query_id", "symbol_id").join(terms.select("query_id", "term"), "query_id")
+    stats = stats.select("field", F.col("document_count").cast("double").alias("document_count"), (F.col("total_term_frequency") / F.col("document_count")).alias("avg"))
+    rows = kept.join(opened, ["symbol_id", "term"]).join(lengths, ["field", "symbol_id"]).join(stats, "field")
     b = _per_field(profile.b)
     norm = F.when((b == 0) | (F.col("avg") <= 0), F.lit(profile.k1)).otherwise(profile.k1 * (1 - b + b * F.col("len") / F.col("avg")))
     part = _per_field(profile.boost) * idf(F.col("document_count"), F.col("df")) * F.col("tf") * (profile.k1 + 1) / (F.col("tf") + norm)
@@ -94,7 +99,7 @@ def collapse(scored: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def ranked(collapsed: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """The first shown + 0 anchors of each question with rank, and margin_ppm of the first over the second."""
+    """The first anchors of each question with rank, and margin_ppm of each over the next."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "symbol_id")
     second = F.coalesce(F.lead("score").over(order), F.lit(0))
     top = collapsed.withColumn("rank", F.row_number().over(order)).withColumn("second", second).where(F.col("rank") <= profile.shown)
@@ -102,10 +107,6 @@ def ranked(collapsed: DataFrame, profile: Profile = Profile()) -> DataFrame:
     return top.withColumn("margin_ppm", margin).drop("second")
 
 
-def margin_ppm(top: Column, second: Column) -> Column:
-    return F.when(top > 0, F.expr("bigint(0)") + F.floor((top - second).cast("decimal(38,0)") * 1_000_000 / top).cast("long")).otherwise(0)
-
-
 def decide(top: DataFrame, queries: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """query_id, decision (direct, candidates, none), reason, score, margin_ppm, confidence, answers (symbol ids in order).
 
@@ -122,13 +123,15 @@ def decide(top: DataFrame, queries: DataFrame, profile: Profile = Profile()) ->
     return out.select("query_id", "decision", reason.alias("reason"), "score", "margin_ppm", F.when(F.col("decision") == "direct", (F.col("margin_ppm") / 1_000_000).cast("float")).alias("confidence"), answers.alias("answers"))
 
 
-def evidence(opened: DataFrame, cands: DataFrame, terms: DataFrame, union_size: DataFrame | None = None, profile: Profile = Profile()) -> DataFrame:
-    """query_id, postings, union_size, scored, dropped, terms: what a ranking touched."""
-    e = opened.groupBy("query_id").agg(F.count("*").alias("postings"), F.countDistinct("symbol_id").alias("union_size"), F.countDistinct("term").alias("terms"))
+def evidence(opened: DataFrame, terms: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """query_id, postings, union_size, terms, scored, dropped: what a ranking touched."""
+    per = opened.groupBy("term", "symbol_id").agg(F.count("*").alias("fields")).join(terms.select("query_id", "term"), "term")
+    e = per.groupBy("query_id", "symbol_id").agg(F.sum("fields").alias("postings")).groupBy("query_id").agg(F.sum("postings").alias("postings"), F.count("*").alias("union_size"))
+    e = e.join(terms.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id")
     return e.withColumn("scored", F.least("union_size", F.lit(profile.retained)).cast("long")).withColumn("dropped", F.col("union_size") - F.col("scored"))
 
 
 def rank(post: DataFrame, lengths: DataFrame, stats: DataFrame, anchors: DataFrame, terms: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """The shown anchors of each question: query_id, symbol_id, path, name, score, rank, margin_ppm."""
-    opened = streams(post, stats, terms)
-    return ranked(collapse(scores(opened, candidates(opened, profile), lengths, profile), anchors), profile)
+    opened = streams(post, terms)
+    return ranked(collapse(scores(opened, terms, candidates(opened, terms, profile), lengths, stats, profile), anchors), profile)

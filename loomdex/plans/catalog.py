@@ -110,10 +110,10 @@ def lex_route_key(spark, d):
     return _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", lexing.route_key("text").alias("route_key"))
 
 
-@query()
+@query(f"SELECT CAST(query_id AS BIGINT) AS query_id, array_to_string(list_sort({_terms_sql('text')}), ' ') AS terms FROM {_Q}")
 def lex_query_terms(spark, d):
-    """Terms and stems of questions, in order."""
-    return _questions(spark).select("query_id", F.array_join(lexing.query_terms("text"), " ").alias("terms"))
+    """Terms and stems of questions, sorted."""
+    return _questions(spark).select("query_id", F.array_join(F.array_sort(lexing.query_terms("text")), " ").alias("terms"))
 
 
 _URL = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -149,14 +149,15 @@ def field_length_table(spark, d):
     return index.length_table(index.postings(index.term_bags(_part_symbols(spark, d), PART_FIELDS)), list(PART_FIELDS))
 
 
-@query(f"WITH {_ranking_sql(_DOC_POST, f'{_BENCH} WHERE item_id = 0', ranking.B, ranking.BOOST, _P)} SELECT symbol_id AS doc_id, score FROM scored")
+@query(f"WITH {_ranking_sql(_DOC_POST, _BENCH, ranking.B, ranking.BOOST, _P)} SELECT query_id, symbol_id AS doc_id, score FROM scored")
 def bm25_single_field(spark, d):
-    """BM25 of documents for one question, over the retained candidates."""
+    """BM25 of documents for every benchmark text, over the retained candidates."""
     post = _doc_postings(spark, d)
     lengths = index.field_lengths(post)
-    ask = _t(spark, d, "benchmark").where("item_id = 0").select(F.col("item_id").cast("long").alias("query_id"), "text")
-    opened = ranking.streams(post, index.corpus_stats(lengths), _asked(ask, post))
-    return ranking.scores(opened, ranking.candidates(opened), lengths).select(F.col("symbol_id").alias("doc_id"), "score")
+    ask = _t(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
+    terms = _asked(ask, post)
+    opened = ranking.streams(post, terms)
+    return ranking.scores(opened, terms, ranking.candidates(opened, terms), lengths, index.corpus_stats(lengths)).select("query_id", F.col("symbol_id").alias("doc_id"), "score")
 
 
 _TOP = f"""WITH {_ranking_sql(_PART_POST, _ASK, ranking.B, ranking.BOOST, _P)},
@@ -201,12 +202,11 @@ def bm25_batch_decision(spark, d):
 def candidate_cap_evidence(spark, d):
     """What the bounded candidate union of each benchmark question touched, and whether its bound cut a tie."""
     post = _doc_postings(spark, d)
-    lengths = index.field_lengths(post)
     ask = _t(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
     terms = _asked(ask, post)
-    opened = ranking.streams(post, index.corpus_stats(lengths), terms)
-    cands = ranking.candidates(opened)
-    return ranking.evidence(opened, cands, terms).join(ranking.cap_cut_a_tie(cands), "query_id", "left").na.fill(False, ["cut"])
+    opened = ranking.streams(post, terms)
+    cands = ranking.candidates(opened, terms)
+    return ranking.evidence(opened, terms).join(ranking.cap_cut_a_tie(cands), "query_id", "left").na.fill(False, ["cut"])
 
 
 # exact routing
@@ -336,17 +336,10 @@ def impact_closure(spark, d):
     return graph.closure(_edges(spark, d), _t(spark, d, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("node")))
 
 
-_CYCLE_DAY = "l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-04-01'"
-
-
-@query(f"""WITH RECURSIVE f AS (SELECT l_orderkey % 97 AS source, l_suppkey % 89 AS target FROM lineitem WHERE {_CYCLE_DAY} AND l_orderkey % 7 = 0), g AS (SELECT DISTINCT source, target FROM f),
-  r AS (SELECT source AS a, target AS b FROM g UNION SELECT r.a, g.target FROM r JOIN g ON g.source = r.b),
-  m AS (SELECT x.a AS node, least(min(x.b), x.a) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
-  SELECT node, cycle FROM m""")
+@query()
 def impact_cycles(spark, d):
-    """Cycles of a sparse graph of keys."""
-    li = _t(spark, d, "lineitem").where("l_shipdate >= timestamp'1995-01-01' and l_shipdate < timestamp'1995-04-01' and l_orderkey % 7 = 0")
-    return graph.cycles(li.select((F.col("l_orderkey") % 97).alias("source"), (F.col("l_suppkey") % 89).alias("target")))
+    """Cycles of the graph of consecutive parts. SQL would need all reachable pairs; tests compare with brute force instead."""
+    return graph.cycles(_edges(spark, d))
 
 
 @query("""WITH a AS (SELECT DISTINCT p_brand AS path, 'exact' AS c, 'affected-test' AS r FROM part WHERE p_size < 10), b AS (SELECT DISTINCT p_brand, 'probable', 'lexical-name' FROM part WHERE p_size > 40),

@@ -1 +1 @@
-
+"""Reserved: the engine has no streaming operators. Incremental maintenance is in operators/delta.py."""

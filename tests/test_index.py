@@ -55,8 +55,8 @@ def test_scores_are_the_closed_form(spark):
     post = spark.createDataFrame([("name", "token", 1, 1), ("name", "load", 1, 1), ("body", "token", 1, 3), ("body", "token", 2, 1), ("body", "x", 2, 5)], "field string, term string, symbol_id long, tf long")
     lengths = index.field_lengths(post)
     terms = spark.createDataFrame([(9, "token")], "query_id long, term string")
-    opened = ranking.streams(post, index.corpus_stats(lengths), terms)
-    got = {r.symbol_id: r.score for r in ranking.scores(opened, ranking.candidates(opened), lengths).collect()}
+    opened = ranking.streams(post, terms)
+    got = {r.symbol_id: r.score for r in ranking.scores(opened, terms, ranking.candidates(opened, terms), lengths, index.corpus_stats(lengths)).collect()}
     idf = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
     body = lambda tf, length: 1.5 * idf(2, 2) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 4.5))
     want = {1: 8 * idf(1, 1) * 2.2 / 2.2 + body(3, 3), 2: body(1, 6)}
@@ -66,11 +66,12 @@ def test_scores_are_the_closed_form(spark):
 def test_cap_and_tie(spark):
     post = spark.createDataFrame([("name", "a", k, 1) for k in range(70)], "field string, term string, symbol_id long, tf long")
     lengths = index.field_lengths(post)
-    opened = ranking.streams(post, index.corpus_stats(lengths), spark.createDataFrame([(1, "a")], "query_id long, term string"))
-    cands = ranking.candidates(opened)
+    terms = spark.createDataFrame([(1, "a")], "query_id long, term string")
+    opened = ranking.streams(post, terms)
+    cands = ranking.candidates(opened, terms)
     assert ranking.cap_cut_a_tie(cands).first().cut
-    assert ranking.scores(opened, cands, lengths).count() == 64
-    e = ranking.evidence(opened, cands, None).first()
+    assert ranking.scores(opened, terms, cands, lengths, index.corpus_stats(lengths)).count() == 64
+    e = ranking.evidence(opened, terms).first()
     assert (e.union_size, e.scored, e.dropped, e.terms) == (70, 64, 6, 1)
 
 
