@@ -173,3 +173,31 @@ def read_archive(archive: DataFrame) -> DataFrame:
     got = materialise(archive.select(*chunks).mapInArrow(_read, _READ_DDL), "warc-read")
     torn = got.where("record is not null").select(*chunks).repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, _READ_DDL)
     return got.where("record is null").select(*cols).unionByName(torn.select(*cols))
+
+
+def export_files(archive: DataFrame, path: str, files: int = 16) -> DataFrame:
+    """Writes an archive as .warc files below path, a URI of a folder that all executors reach; file, records, bytes of each.
+
+    A record lies in one file. A file appears under its name by a rename when it is complete, so a task that runs again
+    replaces what a lost one wrote.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base)
+        task = TaskContext.get()
+        name = f"{base.rstrip('/')}/part-{task.partitionId():05d}.warc"
+        records = size = 0
+        with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
+            for b in batches:
+                for chunk, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    records += chunk == 0
+                    size += out.write(data.as_buffer())
+        store.move(f"{name}.{task.taskAttemptId()}", name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+
+    rows = archive.repartition(files, "record").sortWithinPartitions("record", "chunk").select("chunk", "data")
+    return rows.mapInArrow(run, "file string, records long, bytes long")

@@ -338,6 +338,23 @@ def test_archives_round_trip(spark, monkeypatch, chunk):
     assert warc.read_archive(warc.write_archive(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_archive_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 900)
+    rows = [(k, f"http://h/{k}", f"page {k % 7} " * 500, "", 1) for k in range(20)]
+    out = warc.export_files(warc.write_archive(spark.createDataFrame(rows, PAGES)), f"file://{tmp_path}/out", 3).collect()
+    data = b"".join((tmp_path / "out" / os.path.basename(x.file)).read_bytes() for x in out)
+    assert sum(x.records for x in out) == 20 and sum(x.bytes for x in out) == len(data) and len(os.listdir(tmp_path / "out")) == len(out)
+    seen = {}
+    while data:  # a plain reader
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        n = int(fields[b"Content-Length"])
+        seen[int(fields[b"WARC-Record-ID"].rpartition(b":")[2][:-1])] = (fields[b"WARC-Type"], rest[:n].partition(b"\r\n\r\n")[2])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        data = rest[n + 4 :]
+    assert {k: v for k, v in seen.items() if k < 7} == {k: (b"response", rows[k][2].encode()) for k in range(7)} and all(seen[k] == (b"revisit", b"") for k in range(7, 20))
+
+
 def test_archives_detect_damage(spark):
     archive = warc.write_archive(spark.createDataFrame([(1, "u", "payload " * 20, "", 1)], PAGES))
     bad = archive.withColumn("data", F.encode(F.replace(F.decode("data", "utf-8"), F.lit("payload"), F.lit("PAYLOAD")), "utf-8"))
