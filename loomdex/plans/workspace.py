@@ -13,6 +13,7 @@ from ..functions import languages, lexing
 from ..operators import delta, exact, graph, index, ranking, spans
 from ..sources import store, tree
 from ..sources.lineage import cut
+from . import reports
 
 TEXT_FIELDS = {"name": "name", "qualified": "qualified", "path": "path", "signature": "signature", "body": "body_text", "documentation": "documentation", "attribute": "attribute_text"}
 # Exit codes of an answer and of an impact report.
@@ -32,9 +33,14 @@ class Index:
     lengths: DataFrame
     stats: DataFrame
     files: DataFrame
-    statuses: DataFrame
+    facts: DataFrame
 
-    TABLES = ("symbols", "references", "imports", "resolved", "postings", "lengths", "stats", "files", "statuses")
+    TABLES = ("symbols", "references", "imports", "resolved", "postings", "lengths", "stats", "files", "facts")
+
+    @property
+    def statuses(self) -> DataFrame:
+        """path, status of every file that was read."""
+        return self.facts.where("fact = 'file'").select("path", "status")
 
     @classmethod
     def build(cls, files: DataFrame) -> Index:
@@ -60,7 +66,21 @@ class Index:
         bags = index.term_bags(symbols, TEXT_FIELDS).unionByName(index.derived_terms(refs, resolved, imps, symbols))
         post = cut(index.postings(bags))
         lengths = index.field_lengths(post)
-        return cls(symbols, refs, imps, resolved, post, lengths, index.corpus_stats(lengths), files, facts.where("fact = 'file'").select("path", "status"))
+        return cls(symbols, refs, imps, resolved, post, lengths, index.corpus_stats(lengths), files, facts)
+
+    def refresh(self, files: DataFrame) -> tuple[Index, dict]:
+        """The index of files (path, content) and a report. Facts of unchanged files are kept; only changed ones are read."""
+        seen = cut(files.select("path", tree.blob_oid(F.col("content")).alias("oid")))
+        as_tree = lambda df: df.withColumn("mode", F.lit("file"))
+        d = delta.tree_delta(as_tree(self.files), as_tree(seen))
+        action = F.when(F.col("change") == "deleted", "remove").when(F.col("change") == "renamed", "rename").otherwise("recheck")
+        plan = cut(delta.refresh_plan(d.select("path", action.alias("action"), "source")))
+        if delta.is_no_op(plan):
+            return self, reports.refresh_report("no-op", plan, seen.count(), 0, 0, self.statuses, False)
+        todo = files.join(plan.where("action <> 'remove'").select("path"), "path", "left_semi").withColumn("lang", languages.language("path")).where("lang is not null").where(languages.is_code("lang"))
+        fresh = cut(extract.extract(todo.select("path", "content", "lang")))
+        new = Index.of_facts(cut(delta.refreshed(self.facts, plan, fresh)), seen)
+        return new, reports.refresh_report("incremental", plan, seen.count(), fresh.where("fact = 'file'").count(), new.statuses.count() - fresh.where("fact = 'file'").count(), new.statuses, True)
 
     def publish(self, root: str, profile: ranking.Profile = ranking.Profile()) -> bool:
         """Writes a version, postings by field; False if it is the current one already."""
@@ -70,6 +90,28 @@ class Index:
     def open(cls, spark: SparkSession, root: str, profile: ranking.Profile = ranking.Profile()) -> Index:
         return cls(**store.load(spark, root, stamp=profile.stamp()))
 
+    def explain(self, text: str) -> dict | None:
+        """What ranking a question touches; None if it has no term of the index."""
+        asked = self.symbols.sparkSession.createDataFrame([(1, text)], "query_id long, text string")
+        terms = index.known_terms(asked.select("query_id", F.posexplode(lexing.query_terms("text")).alias("pos", "term")), index.vocabulary(self.postings)).select("query_id", "term")
+        opened = ranking.streams(self.postings, terms)
+        row = ranking.evidence(opened, terms).join(ranking.cap_cut_a_tie(ranking.candidates(opened, terms)), "query_id", "left").na.fill(False, ["cut"]).first()
+        if row is None:
+            return None
+        return {"posting_hits_scanned": row.postings, "candidates_before_cap": row.union_size, "candidates_scored": row.scored, "candidates_dropped": row.dropped, "cap_cut_a_tie": row.cut, "effective_query_terms": row.terms}
+
+    def source(self, answer: dict, files: DataFrame) -> dict:
+        """The verified window of a direct answer from files (path, content): its text, or why it isn't served."""
+        a = answer["anchor"]
+        row = files.where(F.col("path") == a["path"]).select("content", tree.blob_oid(F.col("content")).alias("oid")).join(self.files.where(F.col("path") == a["path"]).select(F.col("oid").alias("known")), F.lit(True), "left").first()
+        if row is None or row.oid != row.known:
+            return {"status": "missing" if row is None else "changed"}
+        lines = files.where(F.col("path") == a["path"]).select(F.col("path").alias("key"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n", -1)).alias("at", "text")).select("key", (F.col("at") + 1).cast("long").alias("line"), "text")
+        first, last = a["lines"] or (1, 2**31)
+        at = files.sparkSession.createDataFrame([(a["path"], first, last)], "key string, start_line long, end_line long")
+        got = spans.window_lines(lines, at).orderBy("line").collect()
+        return {"status": "served", "lines": [got[0].line, got[-1].line] if got else None, "text": "\n".join(r.text for r in got)}
+
     def ask(self, text: str, path: str | None = None, profile: ranking.Profile = ranking.Profile()) -> dict:
         """An answer to one question: exact names first, then ranking; none below a path that has no match."""
         spark, q = self.symbols.sparkSession, exact.parse_question(text)

@@ -1,6 +1,8 @@
 import pytest
 
+from loomdex.plans import reports
 from loomdex.plans import workspace as w
+from loomdex.sources import vcs
 
 FILES = {
     "src/lib.rs": "pub mod auth;\npub mod store;\n",
@@ -49,4 +51,60 @@ def test_impact(spark):
     assert {(x.node, x.distance) for x in r["affected"].collect()} == {("src/auth.rs#auth::verify_token", 1), ("src/store.rs#store::Store::open", 2), ("tests/flow.rs#tests::flow::opens", 2)}
     assert [(x.path, x.confidence, x.reasons) for x in r["tests"].collect()] == [("tests/flow.rs", "exact", ["affected-test"])]
     assert r["cycles"].count() == 0 and r["status"] == "complete"
+    report = reports.impact_report(r, 1)
+    assert report["affected"]["shown"] == 1 and report["affected"]["total"] == 3 and report["tests"]["rows"][0]["path"] == "tests/flow.rs"
+    assert '"status": "complete"' in reports.render(report)
     assert w.impact(frame(spark, FILES), frame(spark, FILES), 1)["affected"].count() == 0
+
+
+def test_source_and_explain(spark, built):
+    a = built.ask("verify_token")
+    s = built.source(a, frame(spark, FILES))
+    assert s["status"] == "served" and s["lines"] == [1, 5] and "bearer" in s["text"]
+    assert built.source(a, frame(spark, {**FILES, "src/auth.rs": "x"})) == {"status": "changed"}
+    assert built.source(a, frame(spark, {"src/lib.rs": "x"})) == {"status": "missing"}
+    e = built.explain("verify the token")
+    assert e["effective_query_terms"] == 2 and e["candidates_dropped"] == 0 < e["posting_hits_scanned"] and built.explain("zebra") is None
+
+
+def rows(df):
+    return sorted(str(r) for r in df.collect())
+
+
+def test_refresh_equals_build(spark, built):
+    """Incremental and full builds of an edited tree are the same tables."""
+    new = dict(FILES)
+    new["src/auth.rs"] = FILES["src/auth.rs"] + "\npub fn forget(raw: &str) { check(raw); }\n"
+    new["src/renamed.rs"] = new.pop("src/other.rs")
+    new.pop("tests/flow.rs")
+    new["src/py.py"] = "def go():\n    run()\n"
+    got, report = built.refresh(frame(spark, new))
+    want = w.Index.build(frame(spark, new))
+    for t in w.Index.TABLES:
+        cols = sorted(getattr(want, t).columns)
+        assert rows(getattr(got, t).select(cols)) == rows(getattr(want, t).select(cols)), t
+    assert (report["mode"], report["reparsed"], report["cached"], report["removed"], report["renamed"]) == ("incremental", 3, 2, 1, 1)
+    same, quiet = got.refresh(frame(spark, new))
+    assert same is got and quiet["mode"] == "no-op" and not quiet["snapshot_updated"]
+
+
+def test_working_tree_state(spark):
+    out = b"1 .M N... 100644 100644 100644 a b src/a b.rs\x001 A. N... 0 1 1 a b new.rs\x002 R. N... 1 1 1 a b R100 to.rs\x00from.rs\x00u UU N... 1 1 1 1 a b c both.rs\x00? loose.txt\x001 .M S.M. 1 1 1 a b sub\x00"
+    got, skipped = vcs.parse_status(out)
+    assert skipped == 1 and got == [("unstaged", "src/a b.rs", None), ("staged", "new.rs", None), ("renamed", "to.rs", "from.rs"), ("conflicted", "both.rs", None), ("untracked", "loose.txt", None)]
+    df = vcs.status_frame(spark, out)
+    assert vcs.state_label(df) == "conflicted" and vcs.state_label(df.where("false")) == "clean"
+    here = spark.createDataFrame([("src/a b.rs",), ("to.rs",)], "path string")
+    assert {(r.path, r.action) for r in vcs.refresh_changes(df, here).collect()} == {("src/a b.rs", "recheck"), ("new.rs", "remove"), ("to.rs", "rename"), ("both.rs", "remove"), ("loose.txt", "remove")}
+    d = spark.createDataFrame([("a/.gitignore", None)], "path string, source string")
+    assert vcs.rules_touched(d) and not vcs.rules_touched(d.selectExpr("'x' as path", "source"))
+    t = spark.createDataFrame([("a", "1")], "path string, oid string")
+    assert vcs.unchanged(t, t) and not vcs.unchanged(t, t.where("false"))
+
+
+def test_findings(spark):
+    f = reports.findings(spark.createDataFrame([("false-directs",)], "failure string"), "m")
+    assert [x["rule_id"] for x in reports.adjudicate(reports.render(f), "m")] == ["0505_FALSE_DIRECT"]
+    for bad in (("n", reports.render(f)), ("m", reports.render(f).replace("0505_FALSE_DIRECT", "0999_X"))):
+        with pytest.raises(ValueError):
+            reports.adjudicate(bad[1], bad[0])
