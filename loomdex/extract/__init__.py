@@ -84,3 +84,26 @@ def invalid(facts: DataFrame) -> DataFrame:
     own = facts.where("fact = 'definition'").select("path", F.col("idx").alias("owner"), F.col("start_byte").alias("os"), F.col("end_byte").alias("oe"))
     rows = facts.where("fact <> 'file'").join(own, ["path", "owner"], "left")
     return rows.where("start_byte > end_byte or start_line < 1 or start_line > end_line or (fact <> 'import' and coalesce(name, '') = '') or (owner is not null and (os is null or start_byte < os or end_byte > oe))")
+
+
+def span_problem(content: bytes, start: int, end: int, first: int, last: int) -> str | None:
+    """What is wrong with a span of a file: out of bounds, inside a character, or other lines than it says."""
+    if not 0 <= start <= end <= len(content):
+        return "bounds"
+    if any(k < len(content) and content[k] & 0xC0 == 0x80 for k in (start, end)):
+        return "character"
+    if (first, last) != (content.count(b"\n", 0, start) + 1, content.count(b"\n", 0, max(start, end - 1)) + 1):
+        return "lines"
+    return None
+
+
+def invalid_spans(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """path, start_byte, problem of facts whose span doesn't fit their file (path, content)."""
+    spans = facts.where("start_byte is not null").groupBy("path").agg(F.collect_list(F.struct("start_byte", "end_byte", "start_line", "end_line")).alias("spans"))
+
+    def run(batches):
+        for b in batches:
+            bad = [(p, s["start_byte"], e) for p, c, ss in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for s in ss if (e := span_problem(c, *s.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in bad], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "start_byte", "problem"])
+
+    return files.select("path", "content").join(spans, "path").select("path", "content", "spans").mapInArrow(run, "path string, start_byte long, problem string")

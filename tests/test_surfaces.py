@@ -144,6 +144,9 @@ def test_generated_tree_end_to_end(spark, tmp_path):
     facts = extract.extract(src.withColumn("lang", F.when(F.col("path").endswith(".rs"), "rust")))
     assert extract.invalid(facts).count() == 0 and extract.symbols(facts).where("qualified = 'm00003::helper_3'").count() == 1
     assert extract.status_counts(facts).first().files == 13
+    assert extract.invalid_spans(facts, src).count() == 0
+    assert extract.invalid_spans(facts.withColumn("end_byte", F.col("end_byte") + 10**6), src).where("problem = 'bounds'").count() > 0
+    assert [extract.span_problem("é\nx".encode(), *a) for a in ((0, 2, 1, 1), (1, 2, 1, 1), (3, 4, 1, 1), (3, 4, 2, 2))] == [None, "character", "lines", None]
     oid = spark.createDataFrame([(b"hello\n",)], "c binary").select(tree.blob_oid(F.col("c")).alias("o")).first().o
     assert oid == "ce013625030ba8dba906f756967f9e9ca394464a"
     with pytest.raises(Exception, match="not a relative path"):
