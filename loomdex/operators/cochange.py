@@ -25,8 +25,9 @@ def kept_touches(commits: DataFrame, touches: DataFrame, eligible: DataFrame, si
     paths count toward their size: more than bulk_paths, or more than a fifth of the eligible paths."""
     files = eligible.select("path").distinct()
     inside = touched(touches).join(window(commits, size).select("seq"), "seq", "left_semi")
-    counts = inside.groupBy("seq").agg(F.count("*").alias("n")).crossJoin(F.broadcast(files.agg(F.count("*").alias("files"))))  # one row
-    small = counts.where((F.col("n") <= bulk_paths) & (F.col("n") * BULK_SHARE[1] <= F.col("files") * BULK_SHARE[0]))
+    most = files.count() * BULK_SHARE[0]
+    counts = inside.groupBy("seq").agg(F.count("*").alias("n"))
+    small = counts.where((F.col("n") <= bulk_paths) & (F.col("n") * BULK_SHARE[1] <= most))
     return inside.join(small.select("seq"), "seq", "left_semi").join(files, "path", "left_semi")
 
 

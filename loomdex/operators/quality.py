@@ -108,8 +108,8 @@ def leave_one_out(cases: DataFrame, group: str) -> DataFrame:
     """group, none_below, right, cases: a bound fitted without each group, judged on it. Groups are few; each costs a small job."""
     out = None
     for (g,) in cases.select(group).distinct().orderBy(group).collect():
-        fit = fit_thresholds(cases.where(F.col(group) != g)).select("none_below")
-        held = cases.where(F.col(group) == g).crossJoin(F.broadcast(fit))  # one row
+        fit = fit_thresholds(cases.where(F.col(group) != g)).first()
+        held = cases.where(F.col(group) == g).withColumn("none_below", F.lit(fit.none_below if fit else 0).cast("long"))
         row = held.agg(F.lit(g).alias(group), F.max("none_below").alias("none_below"), F.count_if(F.col("answerable") == (F.col("score") >= F.col("none_below"))).alias("right"), F.count("*").alias("cases"))
         out = row if out is None else out.union(row)
     return out

@@ -103,8 +103,9 @@ class Index:
     def source(self, answer: dict, files: DataFrame) -> dict:
         """The verified window of a direct answer from files (path, content): its text, or why it isn't served."""
         a = answer["anchor"]
-        row = files.where(F.col("path") == a["path"]).select("content", tree.blob_oid(F.col("content")).alias("oid")).join(self.files.where(F.col("path") == a["path"]).select(F.col("oid").alias("known")), F.lit(True), "left").first()
-        if row is None or row.oid != row.known:
+        row = files.where(F.col("path") == a["path"]).select(tree.blob_oid(F.col("content")).alias("oid")).first()
+        known = self.files.where(F.col("path") == a["path"]).first()
+        if row is None or known is None or row.oid != known.oid:
             return {"status": "missing" if row is None else "changed"}
         lines = files.where(F.col("path") == a["path"]).select(F.col("path").alias("key"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n", -1)).alias("at", "text")).select("key", (F.col("at") + 1).cast("long").alias("line"), "text")
         first, last = a["lines"] or (1, 2**31)
