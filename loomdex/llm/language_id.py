@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .toxicity import fold
 
-SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_CHARS, TOTAL_CHARS = 200, 20_000, 40_000, 400_000
+SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_CHARS, TOTAL_CHARS = 200, 20_000, 40_000, 200_000
 SEGMENT, BATCH_CHARS, MOST_LETTERS = 256, 1_000_000, 124
 SPACE, OTHER = 0, 1
 _END = 1 << 30

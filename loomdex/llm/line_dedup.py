@@ -49,25 +49,34 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text without later repeated runs, and n_lines, n_removed (0 for null texts)."""
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """docs and __lines: the lines to delete, or null."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
-    out = docs.select(*cols).join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left)
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in cols], F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "n_removed")
+    out = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
+    return out.select(*docs.columns, "__lines")
+
+
+def _left() -> Column:
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
+    return F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with text without later repeated runs, and n_lines, n_removed (0 for null texts); they replace columns of that name."""
+    out = _with_repeats(docs)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    cols = [_left().alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*cols, lines.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, same columns, without later repeated runs; n_chars follows the text, and a document that lost every line with a
     word is dropped."""
-    out = dedup_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    out = _with_repeats(docs).withColumn("__left", _left()).where(F.col("__lines").isNull() | F.col("__left").rlike(WORD))
+    of = {"text": F.col("__left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        of["n_chars"] = F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("__left").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[of[c].alias(c) if c in of else F.col(c) for c in docs.columns])
 
 
 #: DuckDB SQL over a relation with unique doc_id, and text: doc_id, lines to delete.

@@ -3,7 +3,7 @@
 Each page becomes one WARC/1.1 record. An archive is a table of rows (record, chunk, last, data, sha1): the data of a
 record's chunks in order are its bytes, CHUNK of them at most in a row, and all rows in order are a WARC file. sha1 is the
 digest of the payload so far. Writing and reading hold one chunk and one digest state, never a whole record. Reading follows
-chunks as they come; those of a record that a split of the table tears apart are brought together again by record.
+chunks as they come; records that a split of the table tears apart are read once more, brought together by name.
 
 Of records with equal payloads of MIN_PAYLOAD bytes at least, that with the smallest page_id is a response; others are
 revisits without payload, which carry its length and digest in their headers. Copies are found by SHA-1 of the whole
@@ -82,8 +82,8 @@ def _write(batches):
     yield rows()
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), *_CHUNKS])
-_READ_DDL = f"page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, {_CHUNKS_DDL}"
+_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record", pa.string())])
+_READ_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record string"
 
 
 class Record:
@@ -116,43 +116,40 @@ class Record:
 
 
 def _read(batches):
-    """A row for each record that is whole and in order; chunks of others go out as they are."""
-    record = now = None
-    after = 0
+    """A row for each record that is whole and in order; of others, which a split has torn, only the name."""
+    cols = _READ.names
 
     def rows(done, torn):
         n, m = len(done), len(torn)
-        cols = [[*(r[i] for r in done), *[None] * m] for i in range(6)] + [[*[None] * n, *(r[i] for r in torn)] for i in range(5)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _READ, strict=True)], schema=_READ)
+        values = [[*(r[i] for r in done), *[None] * m] for i in range(len(cols) - 1)] + [[*[None] * n, *torn]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _READ, strict=True)], schema=_READ)
 
-    pending: list = []  # chunks of the record being read, without those that are known whole
+    record = now = None
+    after = 0
     for b in batches:
-        done, out = [], []
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            name, chunk, last, data, sha1 = r
-            if chunk == 0:
-                out += pending
-                pending, record, now, after = [], Record(data), name, 1
-            elif record is not None and name == now and chunk == after:
-                record.add(data)
+        done, torn = [], []
+        name, chunk, last, sha1 = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
+        for k in range(b.num_rows):
+            if record is not None and (name[k] != now or chunk[k] != after):
+                torn.append(now)
+                record = None
+            if chunk[k] == 0:
+                record, now, after = Record(b.column(3)[k].as_buffer().to_pybytes()), name[k], 1
+            elif record is not None:
+                record.add(b.column(3)[k].as_buffer())
                 after += 1
             else:
-                out += pending
-                pending, record = [], None
-            if record is None:
-                out.append(r)
+                torn.append(name[k])
                 continue
-            if record.left and not record.revisit and record.state.digest() != sha1:
-                raise ValueError(f"{name}: chunk {chunk} is damaged")
-            if last:
+            if record.left and not record.revisit and record.state.digest() != sha1[k]:
+                raise ValueError(f"{now}: chunk {after - 1} is damaged")
+            if last[k]:
                 done.append(record.row())
-                pending, record = [], None
-            else:
-                pending.append(r)
-        if done or out:
-            yield rows(done, out)
-    if pending:
-        yield rows([], pending)
+                record = None
+        if done or torn:
+            yield rows(done, sorted(set(torn)))
+    if record is not None:
+        yield rows([], [now])
 
 
 def write_archive(pages: DataFrame, label: str = "warc") -> DataFrame:
@@ -169,9 +166,10 @@ def write_archive(pages: DataFrame, label: str = "warc") -> DataFrame:
 def read_archive(archive: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record of a chunk table."""
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    chunks = [f.name for f in _CHUNKS]
-    got = materialise(archive.select(*chunks).mapInArrow(_read, _READ_DDL), "warc-read")
-    torn = got.where("record is not null").select(*chunks).repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, _READ_DDL)
+    chunks = archive.select(*_CHUNKS.names)
+    got = materialise(chunks.mapInArrow(_read, _READ_DDL), "warc-read")
+    torn = chunks.join(got.where("record is not null").select("record").distinct(), "record", "left_semi")
+    torn = torn.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, _READ_DDL)
     return got.where("record is null").select(*cols).unionByName(torn.select(*cols))
 
 

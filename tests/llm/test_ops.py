@@ -312,6 +312,9 @@ def test_line_dedup_edges(spark):
     assert sorted(x.doc_id or 0 for x in line_dedup.without_repeats(docs(spark, twice)).collect()) == [0, 1, 1]
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    clash = docs(spark, twice).withColumn("n_lines", F.lit(-1)).withColumn("line", F.lit("x")).withColumn("n_chars", F.lit(3))
+    kept = line_dedup.without_repeats(clash)
+    assert kept.columns == clash.columns and {x.n_lines for x in kept.collect()} == {-1}
 
 
 # archives
