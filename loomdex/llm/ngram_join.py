@@ -36,6 +36,8 @@ CHUNK_TOKENS, CHUNK_SETS = 2_000_000, 60_000
 #: Sets of a family, and tokens, that one task joins at once.
 BLOCK_SETS, BLOCK_TOKENS = 2000, 4_000_000
 SIG_BITS, FANOUT, LEAF = 4096, 8, 16
+HOT_SHARE = 0.001
+CONTRACT = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -191,16 +193,17 @@ def _full_sets(range_bits: int):
     def run(batches):
         from pyspark import TaskContext
 
-        words, seq, part, held = _Words(), 0, TaskContext.get().partitionId(), []
+        words, seq, part, held, size = _Words(), 0, TaskContext.get().partitionId(), [], 0
         for b in batches:
             out = {c: [] for c in ("rep", "n", "k1", "k2", "chunk", "tokens")}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(text.as_py(), words)
-                if held and sum(map(len, held)) + len(s) > CHUNK_TOKENS:
+                if held and (size + len(s) > CHUNK_TOKENS or len(held) >= CHUNK_SETS):
                     yield counts(part << 24 | seq, held)
-                    held, seq = [], seq + 1
+                    held, seq, size = [], seq + 1, 0
                 if len(s):
                     held.append(s)
+                    size += len(s)
                     for c, v in zip(out, (doc, len(s), *_digest(s), part << 24 | seq, s.tobytes()), strict=True):
                         out[c].append(v)
             yield rows(**out)
@@ -406,7 +409,35 @@ def _tree_join(batches):
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]
         links = join_sets(col["rep"], sets, col.get("comp"), col.get("residual"))
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], schema=_LINKS)
+            yield _stars(links)
+
+
+def _stars(links) -> pa.RecordBatch:
+    """Links as (a, b): each node and the smallest one of its component."""
+    at: dict = {}
+    for x, y in links:
+        at.setdefault(x, len(at))
+        at.setdefault(y, len(at))
+    forest, nodes = Forest(len(at)), list(at)
+    for x, y in links:
+        forest.join(at[x], at[y])
+    roots = [forest.find(i) for i in range(len(nodes))]
+    least: dict = {}
+    for n, r in zip(nodes, roots, strict=True):
+        least[r] = min(n, least.get(r, n))
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[r] for r in roots], pa.int64())], schema=_LINKS)
+
+
+def _contract(batches):
+    """Edges (rep, hub) of a task as stars; CONTRACT edges, and a batch, are held at most."""
+    held: list = []
+    for b in batches:
+        held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        if len(held) >= CONTRACT:
+            yield _stars(held)
+            held = []
+    if held:
+        yield _stars(held)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -415,7 +446,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def _profile(docs: DataFrame) -> tuple[DataFrame, int, int]:
     parts = max(1, docs.rdd.getNumPartitions())
-    bits, width = min(16, max(6, (4 * parts - 1).bit_length())), 4 if parts <= 4096 else 8
+    bits, width = min(16, max(6, (parts - 1).bit_length())), 4 if parts <= 4096 else 8
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profiler(bits, width), _PROFILE_DDL)
     return materialise(out, "shingles"), bits, width
 
@@ -426,8 +457,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     profile = materialise(made.where("rng is null").select("doc_id", "n", "k1", "k2", "chunk", "idx"), "profile")
     alone = made.where("rng is not null").select("chunk", "rng", "alone", "owner", "shared").groupBy("rng").applyInArrow(_alone_counter(width), "chunk long, counts binary").groupBy("chunk").applyInArrow(_alone_sum, "chunk long, idx int, alone long")
     # smallest doc_id of each distinct set; those with a fifth of their shingles unshared at most can link
-    classes = profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    able = profile.where("n > 0 and doc_id is not null").join(alone, ["chunk", "idx"], "left").where("5 * coalesce(alone, 0) <= n").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    able = profile.where("n > 0 and doc_id is not null").join(alone, ["chunk", "idx"], "left").where("5 * coalesce(alone, 0) <= n").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     able = materialise(able.select("k1", "k2", F.col("rep").alias("doc_id")), "able")
     discard(made)
     # a doc_id that stands for several texts (bad input) is told apart by the digest
@@ -437,42 +468,51 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     freq = made.where("rng is not null").select("chunk", "rng", "tokens", "counts").groupBy("rng").applyInArrow(_frequencies, "chunk long, rng int, df binary")
     stars = materialise(sets.groupBy("chunk").cogroup(freq.groupBy("chunk")).applyInArrow(_prefixes, "token long, rep long"), "prefixes")
     hubs = stars.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("token", "hub")
-    near = stars.join(hubs, "token").where("rep <> hub").select("rep", "hub").distinct()
-    family = components(near, "rep", "hub", "families")
-    held = materialise(sets.join(family, sets.rep == family.node).select("rep", "n", "tokens", F.col("component").alias("family")), "held")
-    discard(made, stars)
-    per = held.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
+    near = stars.join(hubs, "token").where("rep <> hub").select("rep", "hub").mapInArrow(_contract, "a long, b long")
+    family = components(near, "a", "b", "families")
+    # who belongs where is settled on rows without shingles; a hot family never gathers its sets in a task
+    light = sets.select("rep", "n").join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    per = light.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
     large = per.where((F.col("members") > BLOCK_SETS) | (F.col("mass") > BLOCK_TOKENS))
     blocks = large.select("family", F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("mass") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    dealt = held.join(blocks, "family", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
+    placed = light.join(blocks, "family", "left").select("rep", "family", "blocks", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), "blocks")).cast("int").alias("block"))
+    dealt = materialise(sets.select("rep", "n", "tokens").join(placed, "rep"), "held")
+    discard(made, stars)
+    several = not dealt.where("blocks is not null").isEmpty()
     tasks = dealt.select(F.concat_ws(":", "family", "block").alias("task"), "rep", "n", "tokens")
-    if large.isEmpty():
-        links = materialise(_dealt(tasks), "links")
-    else:
-        links = _large(dealt.where("blocks is not null"), tasks)
-    discard(held)
-    comp = components(links, "a", "b", "links")
-    out = profile.join(classes, ["k1", "k2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    if several:
+        comp = _large(dealt.where("blocks is not null"), tasks)
+    else:  # each family was joined in one task, so its links are its components
+        comp = materialise(_dealt(tasks), "links").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    discard(dealt)
+    # a set that a HOT_SHARE of all documents have meets them by broadcast (1 / HOT_SHARE rows at most), the rest by shuffle
+    least = profile.count() * HOT_SHARE
+    hot = F.broadcast(classes.where(F.col("copies") > F.greatest(F.lit(least), F.lit(1))).select("k1", "k2", "rep"))
+    rest = profile.join(hot, ["k1", "k2"], "left_anti").join(classes.where(F.col("copies") <= F.greatest(F.lit(least), F.lit(1))).select("k1", "k2", "rep"), ["k1", "k2"], "left")
+    out = profile.join(hot, ["k1", "k2"]).unionByName(rest).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     empty = F.when(F.col("n") == 0, F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(empty, "component", "rep")).alias("component_id"))
 
 
 def _large(dealt: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Links of all tasks; families of several blocks (dealt) also join each block to a pivot set, and then what is
-    outside each family's main component to all blocks."""
+    """node, component from the links of all tasks; families of several blocks (dealt) also join each block to a pivot set,
+    and then what is outside each family's main component to all blocks."""
     pivot = dealt.groupBy("family").agg(F.max_by(F.struct("rep", "n", "tokens"), F.struct("n", "rep")).alias("p"))
     # each block gets its family's pivot as one row more
     pivots = dealt.select("family", "block").distinct().join(pivot, "family").select(F.concat_ws(":", "family", "block").alias("task"), "p.rep", "p.n", "p.tokens")
     links = materialise(_dealt(tasks.union(pivots)), "links-blocks")
     comp = components(links, "a", "b", "blocks")
-    placed = dealt.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    main = placed.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    placed = materialise(placed.join(main, "family").select("family", "block", "blocks", "rep", "n", "tokens", "comp", (F.col("comp") != F.col("main")).alias("residual")), "placed")
+    where = dealt.select("rep", "family").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"))
+    main = where.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    where = where.join(main, "family").select("rep", "comp", (F.col("comp") != F.col("main")).alias("residual"))
+    placed = materialise(dealt.join(where, "rep"), "placed")
+    if placed.where("residual").isEmpty():
+        return comp
     left = placed.where("residual").select("family", F.col("block").alias("rblock")).distinct()
     # residual sets of one block with every block of the family
     theirs = placed.join(left, "family").select(F.concat_ws(":", "family", "rblock", "block").alias("task"), "rep", "n", "tokens", "comp", "residual")
     own = placed.where("residual").select("family", F.col("block").alias("rblock"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "tokens", "comp", "residual").where("block <> rblock").select(F.concat_ws(":", "family", "rblock", "block").alias("task"), "rep", "n", "tokens", "comp", "residual")
-    return materialise(links.union(_dealt(theirs.union(own))), "links-all")
+    return components(materialise(links.union(_dealt(theirs.union(own))), "links-all"), "a", "b", "links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
