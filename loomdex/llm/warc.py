@@ -29,7 +29,7 @@ CHUNK, MIN_PAYLOAD = 1 << 16, 0
 DATE = "1970-01-01T00:00:00Z"
 _CHUNKS = pa.schema([("record", pa.string()), ("chunk", pa.int64()), ("last", pa.bool_()), ("data", pa.binary()), ("sha1", pa.binary())])
 _CHUNKS_DDL = "record string, chunk long, last boolean, data binary, sha1 binary"
-_ROWS = 64
+_ROWS, MOST_NAMES = 64, 100_000
 
 
 def _id(page) -> str:
@@ -168,9 +168,15 @@ def read_archive(archive: DataFrame) -> DataFrame:
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     chunks = archive.select(*_CHUNKS.names)
     got = materialise(chunks.mapInArrow(_read, _READ_DDL), "warc-read")
-    torn = chunks.join(got.where("record is not null").select("record").distinct(), "record", "left_semi")
+    whole = got.where("record is null").select(*cols)
+    names = got.where("record is not null").select("record").distinct()
+    count = names.count()
+    if not count:
+        return whole
+    # two names a split at most; up to MOST_NAMES go to every task, more are joined by shuffle
+    torn = chunks.join(F.broadcast(names) if count <= MOST_NAMES else names, "record", "left_semi")
     torn = torn.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, _READ_DDL)
-    return got.where("record is null").select(*cols).unionByName(torn.select(*cols))
+    return whole.unionByName(torn.select(*cols))
 
 
 def export_files(archive: DataFrame, path: str, files: int = 16) -> DataFrame:
