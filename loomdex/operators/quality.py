@@ -117,10 +117,10 @@ def leave_one_out(cases: DataFrame, group: str) -> DataFrame:
 
 def outcomes(cases: DataFrame) -> DataFrame:
     """One row: mean reciprocal rank in ppm over answerable cases, and outcome counts. cases: answerable, decision, accepted_rank."""
-    rr = F.when(F.col("accepted_rank").isNotNull(), F.expr("1000000 div accepted_rank")).otherwise(0)
+    inverse = F.when(F.col("accepted_rank").isNotNull(), F.expr("1000000 div accepted_rank")).otherwise(0)
     right = F.col("answerable") & (F.col("decision") == "direct") & F.coalesce(F.col("accepted_rank") == 1, F.lit(False))
     return cases.agg(
-        ratio_ppm(F.sum(F.when(F.col("answerable"), rr)), F.count_if("answerable") * 1_000_000).alias("mrr_ppm"),
+        ratio_ppm(F.sum(F.when(F.col("answerable"), inverse)), F.count_if("answerable") * 1_000_000).alias("mrr_ppm"),
         F.count_if(right).alias("correct_directs"), F.count_if((F.col("decision") == "direct") & ~right).alias("wrong_directs"),
         F.count_if(~F.col("answerable") & (F.col("decision") != "direct")).alias("correct_abstentions"),
     )
