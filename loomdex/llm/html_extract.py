@@ -2,11 +2,14 @@
 
 Markup is stripped first: comments, scripts, styles and the like go; elements that can't be main text by their name, role,
 class or id (menus, headers and footers of the page, side bars, notices, adverts, forms, reader comments, hidden parts)
-turn into blank lines; every block element starts a line. Each line has the length of its text outside links. Sums over
-WINDOW lines give the distribution; a surge point is where a sum rises above SURGE after a blank stretch, a dive point
-where the next sums fall to zero. Text between a surge and its dive is kept, with the lines that touch it. Inside an article
-or main element, if the page has one with text, any line that is not blank counts as a surge, so short paragraphs stay;
-lines outside it don't count.
+turn into blank lines; every block element starts a line. Each line has the length of its text outside links, 0 if that
+holds no letter or digit. A line of links alone counts as one line a link, so a menu on one line is like one on many. Sums
+over WINDOW lines give the distribution. A dive is WINDOW such lines with the sum 0, blank or of links alone; the lines in
+it go. Text between two dives is a stretch, which is kept if its sums surge to SURGE; lines of fewer links that touch it
+stay. If no stretch does, the densest one with text outside links is kept; a body without any tag has none.
+
+Inside an article or main element, if the page has one with text, any line that is not blank counts as a surge, so short
+paragraphs stay, while dives are cut out as elsewhere (unless nothing else is there); lines outside it don't count.
 
 Null and empty pages give an empty text. Repeated rows and null page_ids keep a row each. Other columns are ignored.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 WINDOW, SURGE = 3, 80
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SOLID = re.compile(r"[^\W_]")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "canvas", "video", "audio", "title", "head", "xmp"}
 _BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,27 +53,27 @@ def _boiler(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article or main element) per line; blank lines where something went."""
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, inside an article or main element, links) per line; blank lines where something went."""
     out: list = []
     text: list = []
-    state = {"link": 0, "plain": 0}
+    state = {"link": 0, "plain": 0, "links": 0}
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article or main
     skip = main = 0
 
     def flush(blank: int = 0):
         s = re.sub(r"\s+", " ", "".join(text)).strip()
         if s:
-            out.append((s, state["plain"], main > 0))
-        out.extend([("", 0, main > 0)] * blank)
+            out.append((s, state["plain"], main > 0, state["links"]))
+        out.extend([("", 0, main > 0, 0)] * blank)
         text.clear()
-        state["plain"] = 0
+        state["plain"] = state["links"] = 0
 
     def add(raw: str):
         if not skip:
             s = html.unescape(raw)
             text.append(s)
-            if not state["link"]:
+            if not state["link"] and _SOLID.search(s):
                 state["plain"] += len(s.strip())
 
     def close(upto: int):
@@ -139,6 +143,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             main += 1
         if name == "a":
             state["link"] += 1
+            state["links"] += not skip
         stack.append((name, bad, art and not bad))
     close(0)
     flush()
@@ -149,25 +154,42 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    held = any(t for t, _, art in rows if art)
+    held = any(t for t, _, art, _ in rows if art)
     if held:
-        rows = [(t, n, art) if art else ("", 0, False) for t, n, art in rows]
-    size = [n for _, n, _ in rows] + [0] * WINDOW
-    total = [sum(size[i : i + WINDOW]) for i in range(len(rows))]
-    keep, i = [], 0
-    while i < len(rows):
-        if not rows[i][0]:
-            i += 1
-            continue
-        # a stretch of lines up to WINDOW blank ones in a row: from where the sums surge to where they dive
-        j, blank = i, 0
-        while j < len(rows) and blank < WINDOW:
-            blank = 0 if rows[j][0] else blank + 1
+        rows = [r if r[2] else ("", 0, False, 0) for r in rows]
+    found = stretches(rows)
+    if held:
+        keep = found or [(rows, 0)]
+    else:
+        keep = [x for x in found if x[1] >= SURGE]
+        if not keep and any(m[2] for m in _TOKEN.finditer(page)):
+            keep = [x for x in [max(found, key=lambda x: x[1], default=([], 0))] if x[1]]
+    return "\n".join(r[0] for part, _ in keep for r in part if r[0])
+
+
+def stretches(rows: list) -> list[tuple[list, int]]:
+    """The lines between dives, and the highest sum over WINDOW lines of each."""
+    out, part, k = [], [], 0
+
+    def end():
+        if any(r[0] for r in part):
+            size = [r[1] for r in part]
+            out.append((part.copy(), max(sum(size[i : i + WINDOW]) for i in range(len(size)))))
+        part.clear()
+
+    while k < len(rows):
+        j, zeros = k, 0
+        while j < len(rows) and not rows[j][1] and bool(rows[j][0]) == bool(rows[k][0]):
+            zeros += max(1, rows[j][3])
             j += 1
-        if held or max(total[i:j]) >= SURGE:
-            keep += [t for t, _, _ in rows[i:j] if t]
-        i = j
-    return "\n".join(keep)
+        if zeros >= WINDOW:
+            end()
+        else:
+            j = max(j, k + 1)
+            part += rows[k:j]
+        k = j
+    end()
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

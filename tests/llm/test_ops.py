@@ -487,6 +487,25 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # menus and footers without a telling tag, role, class or id: lines of links alone are a dive, on many lines or on one
+        ("<div><ul>" + "<li><a href=x>Item</a></li>" * 6 + "</ul></div><div><p>" + "Real text. " * 20 + "</p><p>Short.</p></div><div>" + "<p><a href=y>Deep</a> |</p>" * 4 + "<p>All rights kept</p></div>", "Real text. " * 19 + "Real text.\nShort."),
+        ("<div><a>Home</a> | <a>News</a> | <a>About</a></div><p>" + "Real text. " * 20, "Real text. " * 19 + "Real text."),
+        ("<div role=navigation>x</div><h1><a href=x>Title</a></h1><p>" + "Real text. " * 20, "Title\n" + "Real text. " * 19 + "Real text."),
+        # inside an article too, unless there is nothing else
+        ("<article><p>One.</p><ul>" + "<li><a href=x>Other</a></li>" * 3 + "</ul><p>Two, <a href=y>see</a>.</p><p><a href=z>Source</a></p></article>", "One.\nTwo, see.\nSource"),
+        ("<article><ul>" + "<li><a href=x>Other</a></li>" * 3 + "</ul></article>", "Other\nOther\nOther"),
+        # no sum reaches SURGE: the densest stretch
+        ("<div>" + "<p><a>m</a></p>" * 4 + "<p>A short notice.</p><p>Two lines.</p>" + "<p><a>m</a></p>" * 4 + "<p>End</p></div>", "A short notice.\nTwo lines."),
+        ("<div>" + "<p><a>m</a></p>" * 4 + "</div>", ""),
+    ],
+)
+def test_main_text_by_sums(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>a</article>", "x"), (1, "u", "<article><p>a</article>", "x"), (None, None, None, "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
