@@ -2,12 +2,13 @@
 
 Emails, IP addresses, card numbers and phone numbers are found by pattern in every whole text; these spans always stay.
 Each one's normalised value is a protected entity. The corpus then tells how much a term reveals of an entity:
-PMI(e, t) = log2(N * co(e, t) / (n(e) * df(t))), with N the documents, df(t) those that hold t, n(e) the distinct contexts
+PMI(e, t) = log2(N * co(e, t) / (n(e) * df(t))), with N the distinct texts, df(t) those that hold t, n(e) the distinct contexts
 of e and co(e, t) those contexts (up to NEAR words on either side) that hold t. A term that at least SUPPORT contexts of an
 entity hold and whose PMI is THRESHOLD of the entity's own information log2(N / n(e)) at least discloses it: its
 occurrences beside that entity become spans of kind term. All counts cover all documents.
 
-Counts leave a task pre-added, one row per word and task; pairs of entity and term exist only within contexts.
+Counts leave a task pre-added, one row per word and task; the words of texts that occur more than once leave it once per
+task and text, and are counted once. Pairs of entity and term exist only within contexts.
 
 Null and empty texts have no spans (base_sha256 is that of an empty string). Repeated rows and null doc_ids keep a row
 each; copies are one context. Other columns are ignored.
@@ -106,45 +107,60 @@ def contexts(text: str, spans: list) -> list[tuple[str, str, list[tuple[str, int
     return out
 
 
-_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.string()), ("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
-_DDL = "row long, doc_id long, spans string, entity string, context string, term string, start long, end long, n long"
+def _words(text: str) -> set[str]:
+    """Lower-cased one by one, as those of contexts are."""
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+_ROWS = pa.schema([("copied", pa.int64()), ("words", pa.list_(pa.string())), ("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.string()), ("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
+_DDL = "copied long, words array<string>, row long, doc_id long, spans string, entity string, context string, term string, start long, end long, n long"
 
 
 def _scan(batches):
-    """Rows of three sorts: a document's base spans (spans set); a term beside an entity (entity set; term null for a context as such); term counts (n set)."""
+    """Rows of four sorts: a document's base spans (spans set); a term beside an entity (entity set; term null for a context as such); term counts (n set); a copied text's words (copied set to its digest).
+
+    The third column of the input is the digest of a text that several rows hold, null for others.
+    """
     from pyspark import TaskContext
 
-    row, held = TaskContext.get().partitionId() << 33, Counter()
+    row, held, copied = TaskContext.get().partitionId() << 33, Counter(), set()
 
     def rows(items, *names):
         cols = dict(zip(names, zip(*items, strict=True), strict=True)) if items else {}
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(items), f.type) for f in _ROWS], schema=_ROWS)
 
     for b in batches:
-        docs, near = [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        docs, near, copies = [], [], []
+        for doc, text, digest in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             text = text.as_py() or ""
             spans = base_spans(text)
             docs.append((row, doc, ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)))
             for entity, context, words in contexts(text, spans):
                 near.append((row, entity, context, None, None, None))
                 near += [(row, entity, context, *w) for w in words]
-            held.update(set(_TERM.findall(text.lower())))
+            if digest is None:
+                held.update(_words(text))
+            elif digest not in copied:
+                copied.add(digest)
+                copies.append((digest, list(_words(text))))
             row += 1
+            if len(copied) > FLUSH:
+                copied.clear()
             if len(held) > FLUSH:
                 yield rows(list(held.items()), "term", "n")
                 held.clear()
         yield rows(docs, "row", "doc_id", "spans")
         yield rows(near, "row", "entity", "context", "term", "start", "end")
+        yield rows(copies, "copied", "words")
     yield rows(list(held.items()), "term", "n")
 
 
-def disclosing(near: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+def disclosing(near: DataFrame, counts: DataFrame, texts: int) -> DataFrame:
     """entity, term, pmi of the terms that give an entity away."""
     of = near.where("term is null").groupBy("entity").agg(F.countDistinct("context").alias("ne"))
     co = near.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("context").alias("co")).where(F.col("co") >= SUPPORT)
     both = co.join(of, "entity").join(counts, "term")
-    pmi, own = F.log2(F.lit(float(documents)) * F.col("co") / (F.col("ne") * F.col("df"))), F.log2(F.lit(float(documents)) / F.col("ne"))
+    pmi, own = F.log2(F.lit(float(texts)) * F.col("co") / (F.col("ne") * F.col("df"))), F.log2(F.lit(float(texts)) / F.col("ne"))
     return both.where((own > 0) & (pmi >= THRESHOLD * own)).select("entity", "term", pmi.alias("pmi"))
 
 
@@ -164,11 +180,15 @@ def _finish(batches):
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_sha256 and spans for every row of docs(doc_id, text)."""
-    made = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _DDL), "pii")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    digests = materialise(rows.groupBy("digest").count(), "pii-digests")
+    copies = materialise(digests.where("count > 1").select(F.col("digest").alias("copied")), "pii-copies")
+    made = materialise(rows.join(copies, rows.digest == copies.copied, "left").select("doc_id", "text", "copied").mapInArrow(_scan, _DDL), "pii")
     base = made.where("spans is not null").select("row", "doc_id", "spans")
     near = made.where("entity is not null").select("row", "entity", "context", "term", "start", "end")
-    counts = made.where("n is not null").groupBy("term").agg(F.sum("n").alias("df"))
-    told = disclosing(near, counts, base.count())
+    once = made.where("copied is not null").groupBy("copied").agg(F.first("words").alias("words")).select(F.explode("words").alias("term"), F.lit(1).cast("long").alias("n"))
+    counts = made.where("n is not null").select("term", "n").union(once).groupBy("term").agg(F.sum("n").alias("df"))
+    told = disclosing(near, counts, digests.count())
     more = near.where("term is not null").join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.concat(F.lit("term:"), "start", F.lit(":"), "end")).alias("more"))
     return base.join(more, "row", "left").select("doc_id", "spans", "more").mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

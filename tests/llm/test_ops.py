@@ -173,6 +173,17 @@ def test_personal_data(spark):
     assert pii.personal_data(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_terms_of_copied_documents(spark):
+    # df and N count a text once, however many copies of it there are, as contexts do
+    told = [f"filler{own} words by the quixotic warden wrote to chief.secret@hidden.org about {own}s again" for own in ["red", "blue", "green"]]
+    texts = told + [told[0]] * 300 + [f"plain text {c * 4} the about again wrote words by" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.personal_data(docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).repartition(4))
+    for r in got.collect():
+        words = {texts[r.doc_id][int(i) : int(j)] for k, i, j in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+        assert {"quixotic", "warden"} <= words if "chief" in texts[r.doc_id] else not words
+        assert not {"about", "the", "again", "wrote", "words"} & words
+
+
 # decontamination
 
 
