@@ -3,12 +3,14 @@
 Emails, IP addresses, card numbers and phone numbers are found by pattern in every whole text; these spans always stay.
 Each one's normalised value is a protected entity. The corpus then tells how much a term reveals of an entity:
 PMI(e, t) = log2(N * co(e, t) / (n(e) * df(t))), with N the distinct texts, df(t) those that hold t, n(e) the distinct contexts
-of e and co(e, t) those contexts (up to NEAR words on either side) that hold t. A term that at least SUPPORT contexts of an
-entity hold and whose PMI is THRESHOLD of the entity's own information log2(N / n(e)) at least discloses it: its
-occurrences beside that entity become spans of kind term. All counts cover all documents.
+of e and co(e, t) those contexts (up to NEAR words on either side, not counting those of other spans) that hold t. A term that at least SUPPORT contexts of an
+entity hold and whose PMI is THRESHOLD of the entity's own information log2(N / n(e)) at least discloses it: each of its
+occurrences in a document that holds that entity, but for those in base spans, becomes a span of kind term. All counts
+cover all documents. An entity with fewer than SUPPORT distinct contexts has no such terms: any rare word would pass.
 
 Counts leave a task pre-added, one row per word and task; the words of texts that occur more than once leave it once per
-task and text, and are counted once. Pairs of entity and term exist only within contexts.
+task and text, and are counted once. Pairs of entity and term exist only within contexts; texts are kept beside the counts
+only where they hold an entity.
 
 Null and empty texts have no spans (base_sha256 is that of an empty string). Repeated rows and null doc_ids keep a row
 each; copies are one context. Other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -83,27 +86,28 @@ def base_spans(text: str | None) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
-    """(entity, hash of the words around, terms with their places) per base span."""
-    out = []
-    inside = [(s, e) for s, _, e, _ in spans]
+def terms_outside(text: str, spans: list) -> list[tuple[str, int, int]]:
+    """(lower-cased term, start, end) of all terms that no base span touches; spans: sorted (start, _, end, _)."""
+    out, k, reach = [], 0, 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
+
+
+def contexts(text: str, spans: list) -> list[tuple[str, str, set[str]]]:
+    """(entity, hash of the words around, those words) per base span."""
+    if not spans:
+        return []
+    out, terms = [], terms_outside(text, spans)
+    starts = [s for _, s, _ in terms]
     for start, kind, end, value in spans:
-        before, after, size = [], [], 200
-        while True:  # long enough for NEAR words, or all there is
-            left = max(0, start - size)
-            before = [m for m in _TERM.finditer(text, left, start) if left == 0 or m.start() > left]
-            if len(before) >= NEAR or left == 0 or size > 20_000:
-                break
-            size *= 4
-        size = 200
-        while True:
-            right = min(len(text), end + size)
-            after = [m for m in _TERM.finditer(text, end, right) if right == len(text) or m.end() < right]
-            if len(after) >= NEAR or right == len(text) or size > 20_000:
-                break
-            size *= 4
-        words = [(m[0].lower(), m.start(), m.end()) for m in before[-NEAR:] + after[:NEAR] if not any(s < m.end() and m.start() < e for s, e in inside)]
-        out.append((f"{KINDS[kind]}:{value}", xxhash.xxh3_64_hexdigest(" ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass")), words))
+        i, j = bisect_left(starts, start), bisect_left(starts, end)
+        words = [w for w, _, _ in terms[max(0, i - NEAR) : i] + terms[j : j + NEAR]]
+        out.append((f"{KINDS[kind]}:{value}", xxhash.xxh3_64_hexdigest(" ".join(words).encode("utf-8", "surrogatepass")), set(words)))
     return out
 
 
@@ -112,12 +116,12 @@ def _words(text: str) -> set[str]:
     return {w.lower() for w in set(_TERM.findall(text))}
 
 
-_ROWS = pa.schema([("copied", pa.int64()), ("words", pa.list_(pa.string())), ("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.string()), ("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
-_DDL = "copied long, words array<string>, row long, doc_id long, spans string, entity string, context string, term string, start long, end long, n long"
+_ROWS = pa.schema([("copied", pa.int64()), ("words", pa.list_(pa.string())), ("row", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.string()), ("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("text", pa.string()), ("n", pa.int64())])
+_DDL = "copied long, words array<string>, row long, doc_id long, spans string, entity string, context string, term string, text string, n long"
 
 
 def _scan(batches):
-    """Rows of four sorts: a document's base spans (spans set); a term beside an entity (entity set; term null for a context as such); term counts (n set); a copied text's words (copied set to its digest).
+    """Rows of four sorts: a document's base spans (spans set; text too if it has any); a term beside an entity (entity set; term null for a context as such); term counts (n set); a copied text's words (copied set to its digest).
 
     The third column of the input is the digest of a text that several rows hold, null for others.
     """
@@ -134,10 +138,10 @@ def _scan(batches):
         for doc, text, digest in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             text = text.as_py() or ""
             spans = base_spans(text)
-            docs.append((row, doc, ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)))
+            docs.append((row, doc, ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans), text if spans else None))
             for entity, context, words in contexts(text, spans):
-                near.append((row, entity, context, None, None, None))
-                near += [(row, entity, context, *w) for w in words]
+                near.append((row, entity, context, None))
+                near += [(row, entity, context, w) for w in words]
             if digest is None:
                 held.update(_words(text))
             elif digest not in copied:
@@ -149,8 +153,8 @@ def _scan(batches):
             if len(held) > FLUSH:
                 yield rows(list(held.items()), "term", "n")
                 held.clear()
-        yield rows(docs, "row", "doc_id", "spans")
-        yield rows(near, "row", "entity", "context", "term", "start", "end")
+        yield rows(docs, "row", "doc_id", "spans", "text")
+        yield rows(near, "row", "entity", "context", "term")
         yield rows(copies, "copied", "words")
     yield rows(list(held.items()), "term", "n")
 
@@ -171,6 +175,16 @@ def _digest(base: str, more: list[str]) -> tuple:
     return *(kinds.get(k, 0) for k in KINDS[:4]), hashlib.sha256(base.encode()).hexdigest(), ",".join(map(":".join, every))
 
 
+def _mark(batches):
+    """All places of the given terms in each text."""
+    for b in batches:
+        more = []
+        for text, told in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            text, told = text.as_py(), set(told)
+            more.append([f"term:{s}:{e}" for w, s, e in terms_outside(text, base_spans(text)) if w in told])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(more, pa.list_(pa.string()))], names=["row", "more"])
+
+
 def _finish(batches):
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     for b in batches:
@@ -185,11 +199,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     copies = materialise(digests.where("count > 1").select(F.col("digest").alias("copied")), "pii-copies")
     made = materialise(rows.join(copies, rows.digest == copies.copied, "left").select("doc_id", "text", "copied").mapInArrow(_scan, _DDL), "pii")
     base = made.where("spans is not null").select("row", "doc_id", "spans")
-    near = made.where("entity is not null").select("row", "entity", "context", "term", "start", "end")
+    near = made.where("entity is not null").select("row", "entity", "context", "term")
     once = made.where("copied is not null").groupBy("copied").agg(F.first("words").alias("words")).select(F.explode("words").alias("term"), F.lit(1).cast("long").alias("n"))
     counts = made.where("n is not null").select("term", "n").union(once).groupBy("term").agg(F.sum("n").alias("df"))
     told = disclosing(near, counts, digests.count())
-    more = near.where("term is not null").join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.concat(F.lit("term:"), "start", F.lit(":"), "end")).alias("more"))
+    held = near.where("term is null").select("row", "entity").distinct().join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    more = made.where("text is not null").select("row", "text").join(held, "row").select("row", "text", "terms").mapInArrow(_mark, "row long, more array<string>")
     return base.join(more, "row", "left").select("doc_id", "spans", "more").mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 

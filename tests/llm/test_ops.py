@@ -184,6 +184,26 @@ def test_terms_of_copied_documents(spark):
         assert not {"about", "the", "again", "wrote", "words"} & words
 
 
+def test_terms_anywhere_in_the_documents_of_an_entity(spark):
+    # addresses beside one another don't use up the words; a term far from its entity goes too; so does one 60,000 characters off
+    owns = ["red", "blue", "green", "grey"]
+    many = "name.one@mail.example.com, other.two@mail.example.com; third.more@mail.example.com"
+    texts = [f"the quixotic {own} {many} chief.secret@hidden.org {many} warden{' filler words' * 9} and {own}s about the warden again" for own in owns]
+    texts += [f"quixotic{' .' * 30_000} chief.secret@hidden.org{' .' * 30_000} {own}" for own in owns]
+    texts += [f"plain text {a}{b}{a}{b} the about again wrote words by and filler" for a in "abcdefghz" for b in "klmnop"]
+    for r in pii.personal_data(docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect():
+        text, k = texts[r.doc_id], r.doc_id
+        spans = [(int(i), int(j)) for kind, i, j in (x.split(":") for x in r.spans.split(",") if x) if kind == "term"]
+        words = [text[i:j] for i, j in spans]
+        assert words.count("quixotic") == (1 if k < 8 else 0)
+        base = [(s, e) for s, _, e, _ in pii.base_spans(text)]
+        assert not any(s < j and i < e for i, j in spans for s, e in base) and not {"about", "again", "words"} & set(words)
+    # in the same document beyond the window of its entity
+    owner = [f"the quixotic {own} wrote chief.secret@hidden.org {'filler words ' * 9} quixotic" for own in owns] + [f"plain text {a * 4} the about wrote filler words" for a in "abcdefghijklmnop"]
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, [(k, t, "en", "a") for k, t in enumerate(owner)])).collect()}
+    assert all(f"term:{m.start()}:{m.end()}" in got[k] for k in range(4) for m in re.finditer("quixotic", owner[k])) and not got[5]
+
+
 # decontamination
 
 
