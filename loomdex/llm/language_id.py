@@ -1,7 +1,7 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton of a bounded sample of labelled text (whole texts of at most SAMPLE_TEXT characters,
-by hash order of doc_id, until SAMPLE_CHARS) tells the longest match at any point. A text is cut greedily into longest
+For each language a suffix automaton of a bounded sample of labelled text (the first SAMPLE_TEXT characters of each text,
+from its first letter on, by hash order of doc_id, until SAMPLE_CHARS; the first one always, cut to that) tells the longest match at any point. A text is cut greedily into longest
 matches, language by language; the language that needs the fewest phrases per character wins, ties going to the first
 name. Texts are folded first: lower case, and each run of characters that aren't letters becomes one space.
 
@@ -144,15 +144,16 @@ class CrossParser:
 
 def learn(docs: DataFrame) -> CrossParser:
     """From labelled rows outside fold 2 of 4."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null").where((fold(F.col("doc_id"), 4) != 2) & F.length("text").between(1, SAMPLE_TEXT))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null").where((fold(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= SAMPLE_DOCS).collect()
-    texts = {(r.lang, r.doc_id): r.text for r in rows.where(F.col("doc_id").isin([r.doc_id for r in chosen])).collect()} if chosen else {}
+    piece = F.substring(F.regexp_replace("text", r"\A\P{L}++", ""), 1, SAMPLE_TEXT).alias("text")
+    texts = {(r.lang, r.doc_id): r.text for r in rows.where(F.col("doc_id").isin([r.doc_id for r in chosen])).select("doc_id", "lang", piece).collect()} if chosen else {}
     most = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, len({r.lang for r in chosen})))
     samples: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (r.lang, r.r)):
         held = samples.setdefault(r.lang, [])
-        text = texts[r.lang, r.doc_id]
+        text = texts[r.lang, r.doc_id] if held else texts[r.lang, r.doc_id][:most]
         if text not in held and (not held or sum(map(len, held)) + len(text) <= most):
             held.append(text)
     return CrossParser(samples)

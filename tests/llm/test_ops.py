@@ -279,6 +279,15 @@ def test_language(spark):
     assert language_id.language(docs(spark, [])).count() == 0
 
 
+def test_language_of_long_texts_only(spark):
+    r = random.Random(4)
+    text = lambda sound, n: " ".join(r.choice(sound) + r.choice(sound) for _ in range(n))
+    aa, bb = ["ba", "lo", "mi", "ne"], ["kra", "zur", "tsch", "ö"]
+    rows = [(k, text(aa, 60), "aa", "a") for k in range(12)] + [(20 + k, "1 " * 15_000 + text(bb, 6000), "bb", "a") for k in range(12)]
+    got = {x.doc_id: x for x in language_id.language(docs(spark, rows)).collect()}
+    assert all(got[k].lang_pred == g for k, _, g, _ in rows) and any(got[k].held_out for k in range(20, 32))
+
+
 def test_automaton_phrases_equal_plain_parsing():
     r = random.Random(2)
     sample = "".join(r.choice("abc ") for _ in range(300))
