@@ -3,8 +3,10 @@
 A text's features are the hashes of its distinct words (lower-cased, outer punctuation off) and of their first STEM letters. The score is the logistic of
 w0 + sum w_i + sum_{i<j} <v_i, v_j>: pairs such as an insult with a group's mention add to what single words say. The
 machine is trained on the driver from a bounded sample of labelled rows, MOST_POSITIVE and MOST_NEGATIVE of each class by
-hash order of doc_id, near copies once. It holds only features that MIN_ROWS sampled rows have and whose share of class 1
-is MIN_Z standard deviations off, so the model that goes to every task is bounded by the sample. Every row is scored over its whole text.
+hash order of doc_id, near copies once. It holds all features that MIN_ROWS sampled rows have, so the model that goes to
+every task is bounded by the sample. Each feature's value is how far its share of class 1 is off, alone or among the rows
+of a feature that is itself MIN_Z standard deviations off: 1 from MIN_Z on, below that the POWER-th power of the part
+reached, which keeps chance features small. Every row is scored over its whole text.
 
 Null and empty texts score as the bias alone. With no labelled rows, or those of one class, all scores are the share of
 class 1 (0 without rows). Repeated label rows count once; null labels and null doc_ids are not learned from. Repeated
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.2, 1e-6
-MOST_POSITIVE, MOST_NEGATIVE, MIN_ROWS, MIN_Z = 4000, 8000, 4, 4.0
+MOST_POSITIVE, MOST_NEGATIVE, MIN_ROWS, MIN_Z, POWER = 4000, 8000, 4, 4.0, 4
 STEM = 5
 _ORDERS = (2654435761, 2246822519, 3266489917)
 _TRIM = ".,;:!?\"'()[]{}*#$%&|<>-_~`/\\"
@@ -51,6 +53,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def shares(up, n, p: float):
+    """Standard deviations that up of n rows are off the share p."""
+    return (up - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+
+
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
     """Mini-batch AdaGrad on the logistic loss; rows: terms() of each text."""
     y = np.array(labels, float)
@@ -65,26 +72,40 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
     rows, y = [rows[i] for i in keys.values()], y[list(keys.values())]
     ids, df = np.unique(np.concatenate(rows), return_counts=True)
     up = np.bincount(np.searchsorted(ids, np.concatenate([r for r, t in zip(rows, y, strict=True) if t])), minlength=len(ids))
-    z = (up - y.mean() * df) / np.sqrt(df * y.mean() * (1 - y.mean()))
-    ids = ids[(df >= MIN_ROWS) & (np.abs(z) >= MIN_Z)]
+    each = [np.searchsorted(ids, r).astype(np.int32) for r in rows]
+    z = np.where(df >= MIN_ROWS, np.abs(shares(up, df, y.mean())), 0)
+    # a term may tell only beside another: its share among the rows of each telling term counts as well
+    at, of = np.concatenate(each), np.repeat(np.arange(len(rows), dtype=np.int32), [len(e) for e in each])
+    by = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[by], np.arange(len(ids) + 1))
+    for j in np.flatnonzero(z >= MIN_Z):
+        own = of[by[first[j] : first[j + 1]]]
+        if 0 < (p := y[own].mean()) < 1:
+            n = np.bincount(np.concatenate([each[i] for i in own]), minlength=len(ids))
+            k = np.bincount(np.concatenate([each[i] for i in own if y[i]]), minlength=len(ids))
+            z = np.maximum(z, np.where(n >= MIN_ROWS, np.abs(shares(k, n, p)), 0))
+    del each, at, of, by
+    kept = df >= MIN_ROWS
+    ids, scale = ids[kept], np.minimum(1, z[kept] / MIN_Z) ** POWER
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS))
     gw, gv, g0 = np.full(len(ids), 1e-6), np.full((len(ids), FACTORS), 1e-6), 1e-6
     bias = float(np.log(y.mean() / (1 - y.mean())))
-    feats = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in rows]
+    feats = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]).astype(np.int32) for r in rows]
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
             size = np.array([len(feats[i]) for i in part])
             col, row = np.concatenate([feats[i] for i in part]), np.repeat(np.arange(len(part)), size)
-            vs = v[col]
+            x = scale[col]
+            vs = v[col] * x[:, None]
             sums = np.zeros((len(part), FACTORS))
             np.add.at(sums, row, vs)
             square = np.bincount(row, (vs**2).sum(axis=1), len(part))
-            z = bias + np.bincount(row, w[col], len(part)) + 0.5 * ((sums**2).sum(axis=1) - square)
+            z = bias + np.bincount(row, w[col] * x, len(part)) + 0.5 * ((sums**2).sum(axis=1) - square)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            gr = g[row]
+            gr = g[row] * x
             used, inv = np.unique(col, return_inverse=True)
             dw = np.bincount(inv, gr, len(used)) + DECAY * w[used]
             dv = np.stack([np.bincount(inv, gr * (sums[row, f] - vs[:, f]), len(used)) for f in range(FACTORS)], axis=1) + DECAY * v[used]
@@ -94,7 +115,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= 0.3 * RATE * dv / np.sqrt(gv[used])
             bias -= RATE * g.sum() / np.sqrt(g0)
-    return Machine(ids, w.astype(np.float32), v.astype(np.float32), float(bias))
+    return Machine(ids, (w * scale).astype(np.float32), (v * scale[:, None]).astype(np.float32), float(bias))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -579,6 +579,19 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), lab).count() == 0
 
 
+def test_toxicity_of_terms_that_tell_in_pairs_or_are_rare():
+    r = random.Random(3)
+    rows, labels = [], []
+    for k in range(1800):
+        # northerners: a third of their rows is toxic, as of all rows; they tell only beside scum
+        own = [["scum", "northerners"], ["scum"], [], ["vermin"], ["northerners"], ["northerners"]][k % 6]
+        rows.append(" ".join([prose(r, r.choice([20, 60])), *own, *["wretch"] * (k % 6 == 3 and k < 30)]))
+        labels.append(int(k % 6 in (0, 3)))
+    m = toxicity.train([toxicity.terms(t) for t in rows[:1500]], labels[:1500])
+    assert sum((m.score(toxicity.terms(t)) >= 0.5) == y for t, y in zip(rows[1500:], labels[1500:], strict=True)) > 285
+    assert m.score(toxicity.terms("wretch")) > m.score(toxicity.terms("unseen"))  # five toxic rows
+
+
 # queries
 
 
