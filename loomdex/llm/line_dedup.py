@@ -1,8 +1,8 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of line windows, in DataFrame functions only.
 
 Lines are those between line feeds that hold a word, compared exactly. From each line on, a window is the shortest run of
-lines with MATCH_WORDS words; its smallest line hash is the fingerprint that stands for it, and the hash of the whole
-window keeps fingerprints of different surroundings apart. So any repeated run of MATCH_WORDS words has a fingerprint,
+lines with MATCH_WORDS words; the hash of the whole window is its fingerprint (the smallest line hash beside it follows from
+the window, so no minima are selected). So any repeated run of MATCH_WORDS words has a fingerprint,
 and none is selected for shorter runs. Each fingerprint joins the first position (by doc_id, then line) that has it with
 the same window. From there matches extend both ways over equal lines of the two documents, and of every such run with
 MATCH_WORDS words the later copy is deleted. First positions stay: a run always matches an earlier place.
