@@ -18,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in
+    this process alone. On a cluster executors would write to their own disks, so it must be set there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='loomdex-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/loomdex"
