@@ -10,12 +10,15 @@ that are long enough for some window, each closed by a separator; that loses no
 
 The phrases go to every task, so their number is checked: MAX_PHRASE_WORDS words at most, else ValueError (call it for
 parts of the benchmark then). Null or empty texts have no words, no hits and the hash of an empty list. Repeated rows and
-null doc_ids keep a row each. Null items, and items without words, have no window. Other columns are ignored.
+null doc_ids keep a row each. Null items, and items without words, have no window. Benchmark rows of one item_id are one
+item, with the windows of all its rows; windows of a null item_id hit words but name no item. A text longer than a shard is a shard
+of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 WINDOW, SAMPLE, SHARD_WORDS, MAX_PHRASE_WORDS = 10, 16, 2_000_000, 5_000_000
 #: Upper to lower case; ASCII other than letters and digits to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: The same words, before lower-casing.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -115,7 +120,7 @@ class FMIndex:
         return out
 
 
-def phrase_table(items: list[tuple[str, list[bytes]]]) -> tuple[dict, dict, dict]:
+def phrase_table(items: list[tuple[str | None, list[bytes]]]) -> tuple[dict, dict, dict]:
     """Symbols of the words (from 2), windows by length as {length: (distinct rows of symbols, item numbers of each)}."""
     symbol: dict = {}
     seen: dict = {}
@@ -174,18 +179,18 @@ def _shard(ids: list, texts: list[list[bytes]], items, symbol, windows, short):
                 merged[-1]["end"] = max(j, merged[-1]["end"])
             else:
                 merged.append({"start": i, "end": j})
-        names = sorted({items[k][0] for k in found[d]})
-        row = (doc, sizes[d], sum(x["end"] - x["start"] for x in merged), len(found[d]), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(merged), merged)
+        names = sorted({items[k][0] for k in found[d]} - {None})
+        row = (doc, sizes[d], sum(x["end"] - x["start"] for x in merged), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(merged), merged)
         for f, v in zip(_OUT, row, strict=True):
             out[f.name].append(v)
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _OUT], schema=_OUT)
 
 
 def _phrases(benchmark: DataFrame):
-    size = benchmark.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size > 6 * MAX_PHRASE_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; {6 * MAX_PHRASE_WORDS} go to every task at most")
-    items = [(str(r[0]), words(r[1])) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]
+    size = benchmark.select(F.sum(F.regexp_count("text", F.lit(_WORD))).alias("n")).first()["n"] or 0
+    if size > MAX_PHRASE_WORDS:
+        raise ValueError(f"the benchmark has {size} words; {MAX_PHRASE_WORDS} go to every task at most")
+    items = [(r[0], words(r[1])) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]
     return items, *phrase_table(items)
 
 
@@ -233,3 +238,33 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 k += len(ws)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def cut(text: str | None, spans) -> str | None:
+    """text without the words of spans ((start, end) word numbers, in order) and what stands between them."""
+    if not text or not spans:
+        return text
+    at = [m.span() for m in re.finditer(_WORD, text)]
+    out, upto = [], 0
+    for start, end in spans:
+        out.append(text[upto : at[start][0]])
+        upto = at[end - 1][1]
+    return "".join([*out, text[upto:]])
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, same rows and columns, with the merged removal spans cut from text; the other columns stay as they are."""
+    items, symbol, windows, short = _phrases(benchmark)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for shard in _shards(batches, at):
+            texts = [w for _, ws in shard for w in ws]
+            found = _shard([None] * len(texts), texts, items, symbol, windows, short).column("spans").to_pylist()
+            k = 0
+            for b, ws in shard:
+                left = [cut(t.as_py(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column(at), found[k : k + len(ws)], strict=True)]
+                k += len(ws)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

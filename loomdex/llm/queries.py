@@ -95,7 +95,7 @@ WITH b AS (
   SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, len(ws) - m + 2)) AS x(i) WHERE len(ws) >= m
 ), h AS (SELECT dw.doc_id, dw.i, dw.m, bw.item_id FROM dw JOIN bw ON bw.m = dw.m AND bw.g = dw.g),
 w AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + m)) AS x(p) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
+t AS (SELECT doc_id, count(k) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN w USING (doc_id) LEFT JOIN t USING (doc_id)
 """

@@ -213,7 +213,7 @@ def brute_contamination(texts, items):
     for k, t in items:
         w = word(t)
         for i in range(max(1, len(w) - 9) if w else 0):
-            wins.setdefault(tuple(w[i : i + 10]), set()).add(str(k))
+            wins.setdefault(tuple(w[i : i + 10]), set()).update([] if k is None else [str(k)])
     out = []
     for t in texts:
         w, hit, who = word(t), set(), set()
@@ -232,11 +232,12 @@ def test_contamination(spark, monkeypatch, short):
     r = random.Random(6)
     items = [(k, prose(r, r.choice([10, 11, 25])) + ".") for k in range(9)] + [(9, None), (10, "..."), (11, "a a a a a a a a a a a a")]
     items += [(12, "Straße, w1"), (13, "zzz"), (14, "a a")] if short else []
+    items += [(3, prose(r, 12)), (3, items[3][1]), (None, prose(r, 15))]  # repeated and null ids
     rows = []
     for k in range(60):
         t = prose(r, r.choice([0, 3, 40, 200]))
         if k % 3 == 0:
-            i = r.choice(items[:9] + items[11:])[1]
+            i = r.choice(items[:9] + items[11:] + items[-3:])[1]
             t += " " + i.upper().replace(" ", "-") + " " + prose(r, 3)
         rows.append((k, t + (" a" * 13 if k % 7 == 0 else ""), "en", "a"))
     rows += [x for x in ODD if x[0] != 904]
@@ -249,6 +250,29 @@ def test_contamination(spark, monkeypatch, short):
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_cuts_and_bounds(spark, monkeypatch):
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    text = "Keep, this. One two three-four five six seven eight nine ten ELEVEN! And this."
+    got = {x.doc_id: x for x in decontaminate.without_spans(docs(spark, [(1, text, "en", "a"), (2, "clean", "en", "a"), (3, None, None, None)]), bench).collect()}
+    assert got[1].text == "Keep, this. ! And this." and got[2].text == "clean" and got[3].text is None and got[1].n_words == 7
+    far = decontaminate.contamination(docs(spark, [(1, "filler " * 200_000 + text, "en", "a")]), bench).first()  # a very long text
+    assert (far.n_words, far.n_hit, far.n_items) == (200_015, 11, 1)
+    monkeypatch.setattr(decontaminate, "MAX_PHRASE_WORDS", 10)
+    with pytest.raises(ValueError, match="11 words"):
+        decontaminate.contamination(docs(spark, []), bench)
+
+
+def test_work_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomdex.llm.common import work_dir
+
+    conf = lambda v: SimpleNamespace(get=lambda k, d: v)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(SimpleNamespace(conf=conf(None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")))
+    assert work_dir(SimpleNamespace(conf=conf("s3a://b/c/"), sparkContext=SimpleNamespace(master="yarn"))) == "s3a://b/c/loomdex"
+
+
 def test_fm_index():
     r = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
