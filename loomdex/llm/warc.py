@@ -3,14 +3,17 @@
 Each page becomes one WARC/1.1 record. An archive is a table of rows (record, chunk, last, data, sha1): the data of a
 record's chunks in order are its bytes, CHUNK of them at most in a row, and all rows in order are a WARC file. sha1 is the
 digest of the payload so far. Writing and reading hold one chunk and one digest state, never a whole record. Reading follows
-chunks as they come; records that a split of the table tears apart are read once more, brought together by name.
+chunks as they come; records that a split of the table tears apart are read once more, brought together by name. A record's
+name holds the task that wrote it and its number there, so equal pages, whatever their payloads, never mix.
 
 Of records with equal payloads of MIN_PAYLOAD bytes at least, that with the smallest page_id is a response; others are
 revisits without payload, which carry its length and digest in their headers. Copies are found by SHA-1 of the whole
-payload, computed by Spark; a hot payload costs one row of its smallest page_id.
+payload, computed by Spark; a hot payload costs one row of its smallest page_id. Digests alone are grouped; up to
+MOST_COPIED copied ones (counted) meet the payloads by broadcast, more by a shuffle, whose hot keys Spark splits.
 
 A null html is an empty payload, a null url is about:blank. Rows with a null page_id are responses unless a page_id has
-the same payload. Repeated rows keep a record each, all of them responses if they are the smallest page_id. Other columns are ignored.
+the same payload. Repeated rows keep a record each, all of them responses if they are the smallest page_id; of rows with one
+page_id and different payloads each is a record as well. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 CHUNK, MIN_PAYLOAD = 1 << 16, 0
 DATE = "1970-01-01T00:00:00Z"
 _CHUNKS = pa.schema([("record", pa.string()), ("chunk", pa.int64()), ("last", pa.bool_()), ("data", pa.binary()), ("sha1", pa.binary())])
 _CHUNKS_DDL = "record string, chunk long, last boolean, data binary, sha1 binary"
-_ROWS, MOST_NAMES = 64, 100_000
+_ROWS, MOST_NAMES, MOST_COPIED = 64, 100_000, 100_000
 
 
 def _id(page) -> str:
@@ -48,6 +51,9 @@ def _head(page, url: str | None, sha1: bytes, size: int, first) -> bytes:
 
 
 def _write(batches):
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
     out = {f.name: [] for f in _CHUNKS}
 
     def rows():
@@ -64,14 +70,14 @@ def _write(batches):
             head = _head(page, url, bytes.fromhex(sha1), len(payload), first)
             body = payload if first is None else payload[:0]
             state, at, chunk = hashlib.sha1(), 0, 0
-            record = f"{_id(page)}#{count}"  # repeated rows stay apart
+            record = f"{_id(page)}#{part}.{count}"  # repeated rows stay apart, also those of other tasks
             count += 1
             while True:
-                part = body[at : at + CHUNK - (len(head) if not chunk and len(head) < CHUNK // 2 else 0)]
-                at += len(part)
-                state.update(part)
+                piece = body[at : at + CHUNK - (len(head) if not chunk and len(head) < CHUNK // 2 else 0)]
+                at += len(piece)
+                state.update(piece)
                 last = at >= len(body)
-                data = b"".join((head if not chunk else b"", part, b"\r\n\r\n" if last else b""))
+                data = b"".join((head if not chunk else b"", piece, b"\r\n\r\n" if last else b""))
                 for name, v in zip(out, (record, chunk, last, data, state.digest()), strict=True):
                     out[name].append(v)
                 chunk += 1
@@ -152,15 +158,27 @@ def _read(batches):
         yield rows([], [now])
 
 
+def _read_whole(batches):
+    """As _read, of records that are brought together: one that still isn't whole has lost a chunk."""
+    for b in _read(batches):
+        lost = [x for x in b.column("record").to_pylist() if x is not None]
+        if lost:
+            raise ValueError(f"{lost[0]}: damaged, chunks are missing or repeated")
+        yield b
+
+
 def write_archive(pages: DataFrame, label: str = "warc") -> DataFrame:
     """The archive of pages(page_id, url, html), written to the shared folder: a chunk table."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
     same = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("html")).where(F.length("html") >= MIN_PAYLOAD)
     copies = same.groupBy(F.sha1("html").alias("sha1")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha1", "first")
+    copies = materialise(copies, "warc-copies")
     # first: only where it is another page's
-    rows = rows.join(copies, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("first"))
-    return materialise(rows.mapInArrow(_write, _CHUNKS_DDL), label)
+    rows = rows.join(F.broadcast(copies) if copies.count() <= MOST_COPIED else copies, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("first"))
+    archive = materialise(rows.mapInArrow(_write, _CHUNKS_DDL), label)
+    discard(copies)
+    return archive
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
@@ -175,7 +193,7 @@ def read_archive(archive: DataFrame) -> DataFrame:
         return whole
     # two names a split at most; up to MOST_NAMES go to every task, more are joined by shuffle
     torn = chunks.join(F.broadcast(names) if count <= MOST_NAMES else names, "record", "left_semi")
-    torn = torn.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, _READ_DDL)
+    torn = torn.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read_whole, _READ_DDL)
     return whole.unionByName(torn.select(*cols))
 
 

@@ -422,6 +422,29 @@ def test_archive_files(spark, tmp_path, monkeypatch):
     assert {k: v for k, v in seen.items() if k < 7} == {k: (b"response", rows[k][2].encode()) for k in range(7)} and all(seen[k] == (b"revisit", b"") for k in range(7, 20))
 
 
+def test_archives_of_one_page_id_with_many_payloads(spark, monkeypatch):
+    # equal names in several tasks must not mix when a split tears their records
+    monkeypatch.setattr(warc, "CHUNK", 600)
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "8")):
+        before = spark.conf.get(key)
+        spark.conf.set(key, value)
+        monkeypatch.setattr(warc, "MOST_COPIED", -1)
+        try:
+            rows = [(5, f"http://a/{k}", f"{k}" * 4000, "", 1) for k in range(8)] + [(5, "http://a/0", "0" * 4000, "", 1), (6, "http://a/6", "0" * 4000, "", 1)]
+            archive = warc.write_archive(spark.createDataFrame(rows, PAGES).repartition(8, "html"))
+            got = sorted((x.url, x.payload_digest, x.record_type) for x in warc.read_archive(archive.repartition(7)).collect())
+        finally:
+            spark.conf.set(key, before)
+        assert got == sorted((u, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if k == 5 else "revisit") for k, u, h, *_ in rows)
+
+
+def test_archives_with_lost_chunks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 600)
+    archive = warc.write_archive(spark.createDataFrame([(1, "u", "payload " * 900, "", 1)], PAGES))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(archive.where("chunk <> 2")).collect()
+
+
 def test_archives_detect_damage(spark):
     archive = warc.write_archive(spark.createDataFrame([(1, "u", "payload " * 20, "", 1)], PAGES))
     bad = archive.withColumn("data", F.encode(F.replace(F.decode("data", "utf-8"), F.lit("payload"), F.lit("PAYLOAD")), "utf-8"))
