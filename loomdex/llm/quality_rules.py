@@ -6,8 +6,10 @@ compared with every language by Jensen-Shannon distance (base 2, so 0 to 1); the
 lang does no harm. It is rejected when the character distance exceeds MAX_CHAR or the word distance MAX_WORD. Guards: a
 text below MIN_CHARS characters isn't judged by its characters, one below MIN_WORDS words isn't judged by its words.
 
-Null and empty texts have zero counts and fail the base rule. Rows without lang add to no reference. With no reference at
-all only the base rule decides. Repeated rows and null doc_ids keep a row each. Other columns are ignored.
+Null and empty texts have zero counts and fail the base rule; a word may hold any character, U+0000 included. Texts are
+judged whole, about PART characters at once, so that a very long one is alone. Equal counts rank by word. Rows without lang add to
+no reference; more than MOST_LANGS languages are an error, as references go to every task. With no reference at all only
+the base rule decides. Repeated rows and null doc_ids keep a row each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngram_join import _MULT, _Words
+from .common import discard, materialise
+from .ngram_join import _MULT
 
 CLASSES = 8
 MAX_CHAR, MAX_WORD, MIN_CHARS, MIN_WORDS = 0.30, 0.44, 200, 60
 COMMON_SHARE, COMMON_MOST = 0.002, 100
-FLUSH = 300_000
+#: Distinct words that a task holds at once; characters judged at once; languages.
+FLUSH, PART, MOST_LANGS = 300_000, 4_000_000, 1000
 _SENTENCE = set(".,;:!?'\"()-–—…«»¿¡“”„‘’")
 _STRIP = "".join(sorted(_SENTENCE))
 _SYMBOLS = b"#*$%&|<>"
@@ -50,8 +55,24 @@ def char_classes(text: str) -> np.ndarray:
     return np.bincount(_table[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=CLASSES)
 
 
-def plain_words(raw: list[bytes]) -> list[str]:
-    return [w.strip(_STRIP) for w in b" ".join(raw).decode("utf-8", "surrogatepass").lower().split(" ")] if raw else []
+class Lexicon(dict):
+    """Numbers of raw words as they are met; each one's hash, characters, and plain form or its number in vocab (-1: none)."""
+
+    def __init__(self, vocab: list[str] | None = None):
+        self.vocab = None if vocab is None else {w: i for i, w in enumerate(vocab)}
+        self.hash, self.chars, self.plain = [], [], []
+
+    def __missing__(self, raw: bytes) -> int:
+        k = self[raw] = len(self)
+        word = raw.decode("utf-8", "surrogatepass")
+        form = word.lower().strip(_STRIP)
+        self.hash.append(xxhash.xxh3_64_intdigest(raw))
+        self.chars.append(len(word))
+        self.plain.append(form if self.vocab is None else self.vocab.get(form, -1))
+        return k
+
+    def numbers(self, raw: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, raw), np.int32, len(raw))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -63,75 +84,88 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0) / 2)
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("cls", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+_COUNTS_DDL = "lang string, cls int, word string, n long"
 
 
 def _corpus_counts(batches):
-    """(lang, word, n) per task; character classes, and the total of words, as words that start with a zero character."""
+    """(lang, cls, word, n) per task: words with a null cls, character classes 0 to CLASSES - 1, and the total of words as class CLASSES."""
+    words = Lexicon()
     held: dict = {}
+    classes: dict = {}
 
     def out():
-        rows = [(g, w, n) for g, c in held.items() for w, n in c.items()]
-        held.clear()
+        rows = []
+        for g, n in held.items():
+            merged: Counter = Counter()
+            for k in np.flatnonzero(n).tolist():
+                merged[words.plain[k]] += int(n[k])
+            rows += [(g, None, w, c) for w, c in merged.items()]
+        rows += [(g, k, None, c) for g, n in classes.items() for k, c in enumerate(n.tolist())]
+        for x in (held, classes, words, words.hash, words.chars, words.plain):
+            x.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
 
     for b in batches:
+        found: dict = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if lang is None or not (text := text.as_py()):
                 continue
-            c = held.setdefault(lang, Counter())
-            words = plain_words(text.encode("utf-8", "surrogatepass").split())
-            c.update(words)
-            c["\0total"] += len(words)
-            for k, n in enumerate(char_classes(text).tolist()):
-                c[f"\0{k}"] += n
-        if sum(map(len, held.values())) > FLUSH:
+            numbers = words.numbers(text.encode("utf-8", "surrogatepass").split())
+            found.setdefault(lang, []).append(numbers)
+            classes[lang] = classes.get(lang, 0) + np.r_[char_classes(text), len(numbers)]
+        for lang, parts in found.items():
+            n = np.bincount(np.concatenate(parts), minlength=len(words))
+            n[: len(held.get(lang, ()))] += held.get(lang, 0)
+            held[lang] = n
+        if len(words) > FLUSH or len(words) * len(held) > 10 * FLUSH:
             yield out()
-    if held:
+    if classes:
         yield out()
 
 
 def references(docs: DataFrame) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
     """Languages, their character histograms, common words, their word histograms (last column: other words)."""
-    counts = docs.select("lang", "text").mapInArrow(_corpus_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    is_class = F.col("word").startswith("\0")
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    # the window sees a language's words after the rank filter only: COMMON_MOST, and the classes and the total
-    counts = counts.withColumn("kind", is_class)
-    rows = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_MOST).collect()
-    total = {r.lang: r.n for r in rows if r.word == "\0total"}
-    langs = sorted({r.lang for r in rows})
-    rows = [r for r in rows if r.word != "\0total" and (r.kind or r.word and r.n >= total[r.lang] * COMMON_SHARE)]
-    vocab = sorted({r.word for r in rows if not r.kind})
+    counts = docs.select("lang", "text").mapInArrow(_corpus_counts, _COUNTS_DDL).groupBy("lang", "cls", "word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "quality-counts")
+    langs = sorted(r.lang for r in counts.where(F.col("cls") == CLASSES).select("lang").limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    # the window sees a language's words after the rank filter only: COMMON_MOST
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = counts.where("cls is null and word <> ''").withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON_MOST).select("lang", "word", "n").collect()
+    classes = counts.where("cls is not null").select("lang", "cls", "n").collect()
+    discard(counts)
+    total = {r.lang: r.n for r in classes if r.cls == CLASSES}
+    common = [r for r in common if r.n >= total[r.lang] * COMMON_SHARE]
+    vocab = sorted({r.word for r in common})
     chars, commons = np.zeros((len(langs), CLASSES)), np.zeros((len(langs), len(vocab) + 1))
     at, where = {g: i for i, g in enumerate(langs)}, {w: i for i, w in enumerate(vocab)}
-    for r in rows:
-        if r.kind:
-            chars[at[r.lang], int(r.word[1:])] = r.n
-        else:
-            commons[at[r.lang], where[r.word]] = r.n
+    for r in classes:
+        if r.cls < CLASSES:
+            chars[at[r.lang], r.cls] = r.n
+    for r in common:
+        commons[at[r.lang], where[r.word]] = r.n
     commons[:, -1] = np.array([total[g] for g in langs]) - commons[:, :-1].sum(axis=1)
     return langs, chars / np.maximum(chars.sum(axis=1, keepdims=True), 1), vocab, commons / np.maximum(commons.sum(axis=1, keepdims=True), 1)
 
 
-def repeat_words(raw: list[bytes], words: dict) -> int:
-    """Words in five-word windows that the text holds twice or more."""
-    n = len(raw) - 4
+def repeat_words(a: np.ndarray) -> int:
+    """Words, given as hashes, in five-word windows that the text holds twice or more."""
+    n = len(a) - 4
     if n < 2:
         return 0
-    a = np.fromiter(map(words.__getitem__, raw), np.uint64, len(raw))
     h = np.zeros(n, np.uint64)
     for i in range(5):
         h = (h ^ (h >> np.uint64(29))) * _MULT[i] + a[i : n + i]
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    hit = np.zeros(n, bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    mark = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(mark, np.flatnonzero(hit), 1)
-    np.add.at(mark, np.flatnonzero(hit) + 5, -1)
+    s = np.sort(h)
+    twice = s[1:][s[1:] == s[:-1]]
+    if not len(twice):
+        return 0
+    mark = np.zeros(len(a) + 1, np.int32)
+    at = np.flatnonzero(np.isin(h, twice))
+    mark[at] += 1
+    mark[at + 5] -= 1
     return int(np.count_nonzero(np.cumsum(mark[:-1])))
 
 
@@ -139,31 +173,53 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars"
 _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def judge(text: str | None, ref, words: dict) -> tuple:
-    """All columns after doc_id for one text."""
-    _, chars, vocab, commons = ref
-    text = text or ""
-    data = text.encode("utf-8", "surrogatepass")
-    raw = data.split()
-    joined = b"".join(raw)
+def _dup_lines(data: bytes) -> int:
+    if b"\n" not in data:
+        return 0
     seen, dups = set(), 0
     for line in data.split(b"\n"):
         if line in seen:
             dups += 1
         elif line.strip(b" \t\r\x0b\x0c"):
             seen.add(line)
-    n, rep = len(raw), repeat_words(raw, words)
-    failed = n < 10 or 100 * rep > 20 * n
-    dc = dw = None
-    if len(chars) and len(text) >= MIN_CHARS:
-        dc = float(distance(char_classes(text).astype(float), chars).min())
-    if len(commons) and n >= MIN_WORDS:
-        c = Counter(plain_words(raw))
-        h = np.array([*(c.get(w, 0) for w in vocab), 0], float)
-        h[-1] = n - h.sum()
-        dw = float(distance(h, commons).min())
-    bad = failed or (dc or 0) > MAX_CHAR or (dw or 0) > MAX_WORD
-    return n, len(joined.decode("utf-8", "surrogatepass")), len(data) - len(data.translate(None, _SYMBOLS)), dups, rep, failed, not bad, dc, dw
+    return dups
+
+
+def judge(texts: list[str | None], ref, words: Lexicon) -> list[tuple]:
+    """All columns after doc_id for each text. words: a Lexicon of the reference's vocabulary."""
+    _, chars, vocab, commons = ref
+    if len(words) > FLUSH:
+        for x in (words, words.hash, words.chars, words.plain):
+            x.clear()
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    numbers = [words.numbers(d.split()) for d in data]
+    hashes, size, plain = np.array(words.hash, np.uint64), np.array(words.chars, np.int64), np.array(words.plain, np.int64)
+    out = []
+    for text, d, k in zip(texts, data, numbers, strict=True):
+        n, rep = len(k), repeat_words(hashes[k])
+        failed = n < 10 or 100 * rep > 20 * n
+        dc = dw = None
+        if len(chars) and text and len(text) >= MIN_CHARS:
+            dc = float(distance(char_classes(text).astype(float), chars).min())
+        if len(commons) and n >= MIN_WORDS:
+            # words outside the vocabulary, -1, count in the last bin
+            dw = float(distance(np.roll(np.bincount(plain[k] + 1, minlength=len(vocab) + 1), -1).astype(float), commons).min())
+        bad = failed or (dc or 0) > MAX_CHAR or (dw or 0) > MAX_WORD
+        out.append((n, int(size[k].sum()), len(d) - len(d.translate(None, _SYMBOLS)), _dup_lines(d), rep, failed, not bad, dc, dw))
+    return out
+
+
+def _parts(b: pa.RecordBatch, text: int):
+    """Slices of a batch with PART characters at least, but for the last, and their texts."""
+    start, held, size = 0, [], 0
+    for i, t in enumerate(b.column(text)):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= PART:
+            yield b.slice(start, i + 1 - start), held
+            start, held, size = i + 1, [], 0
+    if held:
+        yield b.slice(start), held
 
 
 def quality(docs: DataFrame, ref=None) -> DataFrame:
@@ -171,10 +227,11 @@ def quality(docs: DataFrame, ref=None) -> DataFrame:
     ref = references(docs) if ref is None else ref
 
     def run(batches):
-        words = _Words()
+        words = Lexicon(ref[2])
         for b in batches:
-            rows = [judge(x.as_py(), ref, words) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_OUT)[1:]))], schema=_OUT)
+            for part, texts in _parts(b, 1):
+                rows = judge(texts, ref, words)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_OUT)[1:]))], schema=_OUT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
 
@@ -182,10 +239,12 @@ def quality(docs: DataFrame, ref=None) -> DataFrame:
 def keep_good(docs: DataFrame, ref=None) -> DataFrame:
     """The rows of docs, all columns, that the rules keep, in one pass."""
     ref = references(docs) if ref is None else ref
+    at = docs.columns.index("text")
 
     def run(batches):
-        words = _Words()
+        words = Lexicon(ref[2])
         for b in batches:
-            yield b.filter(pa.array([judge(x.as_py(), ref, words)[6] for x in b.column(b.schema.get_field_index("text"))], pa.bool_()))
+            for part, texts in _parts(b, at):
+                yield part.filter(pa.array([r[6] for r in judge(texts, ref, words)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -544,6 +544,45 @@ def test_quality(spark):
     assert alone.kept and alone.word_distance is None  # no reference: only the base rule decides
 
 
+def brute_verdict(rows, t):
+    """char_distance, word_distance and kept by the definition, from all rows (doc_id, text, lang, source)."""
+    strip = lambda w: w.lower().strip("".join(quality_rules._SENTENCE))
+    split = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x or "")
+
+    def js(p, q):
+        p, q = {k: v / sum(p.values()) for k, v in p.items()}, {k: v / sum(q.values()) for k, v in q.items()}
+        kl = lambda a: sum(v * np.log2(2 * v / (p.get(k, 0) + q.get(k, 0))) for k, v in a.items() if v)
+        return ((kl(p) + kl(q)) / 2) ** 0.5
+
+    refs = {}
+    for _, x, g, _ in rows:
+        if g is not None and x:
+            c, w = refs.setdefault(g, (collections.Counter(), collections.Counter()))
+            c.update(quality_rules._class(ord(ch)) for ch in x)
+            w.update(map(strip, split(x)))
+    tops = {g: sorted(((w, n) for w, n in ws.items() if w), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_MOST] for g, (_, ws) in refs.items()}
+    vocab = {w for g, top in tops.items() for w, n in top if n >= quality_rules.COMMON_SHARE * refs[g][1].total()}
+    fold = lambda ws, mine: collections.Counter({w: n for w, n in ws.items() if w in mine}) + collections.Counter({None: sum(n for w, n in ws.items() if w not in mine)})
+    dc = dw = None
+    if len(t or "") >= quality_rules.MIN_CHARS:
+        dc = min(js(collections.Counter(quality_rules._class(ord(ch)) for ch in t), c) for c, _ in refs.values())
+    if len(split(t)) >= quality_rules.MIN_WORDS:
+        dw = min(js(fold(collections.Counter(map(strip, split(t))), vocab), fold(ws, {w for w, n in tops[g] if n >= quality_rules.COMMON_SHARE * ws.total()})) for g, (_, ws) in refs.items())
+    return dc, dw, not (brute_quality(t)[5] or (dc or 0) > quality_rules.MAX_CHAR or (dw or 0) > quality_rules.MAX_WORD)
+
+
+def test_verdict_against_brute_force(spark):
+    r = random.Random(19)
+    rows = [(k, "\n".join(prose(r, 12) for _ in range(r.choice([1, 6, 12]))), r.choice(["en", "de"]), "a") for k in range(30)]
+    rows += [(40, " ".join(f"{r.choice(WORDS)}###" for _ in range(70)), "de", "a"), (41, "\x00foo \x00total \x000 " + prose(r, 80), "en", "a"), (42, "漢字かな " * 30 + prose(r, 70), None, "a"), (43, prose(r, 40) + " x" * 60_000, None, "a"), *ODD]
+    got = sorted(((x.doc_id, x.char_distance, x.word_distance, x.kept) for x in quality_rules.quality(docs(spark, rows)).collect()), key=str)
+    want = sorted(((k, *brute_verdict(rows, t)) for k, t, *_ in rows), key=str)
+    near = lambda x, y: x is None and y is None or x == pytest.approx(y, abs=1e-9)
+    assert len(got) == len(want)
+    by = lambda rs: sorted(rs, key=lambda x: (str(x[0]), x[3]))
+    assert all(a[0] == b[0] and near(a[1], b[1]) and near(a[2], b[2]) and a[3] == b[3] for a, b in zip(by(got), by(want), strict=True))
+
+
 def test_references_are_the_corpus_counts(spark):
     rows = [(1, "The cat. The dog!", "en", "a"), (2, "the end", "en", "a"), (3, "der Hund", "de", "a"), (4, None, "de", "a")]
     langs, chars, vocab, commons = quality_rules.references(docs(spark, rows))

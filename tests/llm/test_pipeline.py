@@ -50,7 +50,7 @@ def test_stages(spark, corpus):
             assert docs.schema.simpleString() == spark.read.parquet(f"{d}/documents.parquet").schema.simpleString()
     before, after = seen["quality"]
     ref = quality_rules.references(spark.read.parquet(f"{d}/documents.parquet"))
-    assert set(after) == {k for k, x in before.items() if quality_rules.judge(x.text, ref, quality_rules._Words())[6]}
+    assert set(after) == {k for k, x in before.items() if quality_rules.judge([x.text], ref, quality_rules.Lexicon(ref[2]))[0][6]}
     assert set(before) - set(after) == {301, 302, 303, 304}
     before, after = seen["line_dedup"]
     held = set()
