@@ -1,16 +1,24 @@
-"""Line dedup by hashes of line windows, in DataFrame functions only.
+"""Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Lines are those between line feeds that hold a word, compared exactly. From each line on, a window is the shortest run of
-lines with MATCH_WORDS words; the hash of the whole window is its fingerprint (the smallest line hash beside it follows from
-the window, so no minima are selected). So any repeated run of MATCH_WORDS words has a fingerprint,
-and none is selected for shorter runs. Each fingerprint joins the first position (by doc_id, then line) that has it with
-the same window. From there matches extend both ways over equal lines of the two documents, and of every such run with
-MATCH_WORDS words the later copy is deleted. First positions stay: a run always matches an earlier place.
+Lines are those between line feeds that hold a word, compared exactly; words are split at ASCII white space. A window is
+the shortest run of lines with MATCH_WORDS words from a line on, or up to a line where that ends later (both ways, as a run
+may end after the shortest window). Winnowing:
+
+1. Each window selects its minimum, the smallest line hash (the last of equal ones), as a fingerprint: a hash and a position.
+   Equal windows select the same place in them, so any repeated run of MATCH_WORDS words is guaranteed a shared fingerprint.
+2. Positions join on the fingerprint: a fingerprint selected at one position only can't be part of a repeated run, and the
+   windows around it leave here.
+3. The others are extended both ways, to the whole window, which has to equal (128 bits over its lines) the first place
+   (by doc_id, then line) of such a window. A window that is not the first is a later copy. Every line of a longest
+   repeated run lies in such a window within the run, so the union of the copies is the longest matches' lines.
+4. Copies merge into spans per document and are deleted; blank lines between two deleted lines go with them.
+
+So a line goes exactly if it lies in a run of MATCH_WORDS words at least that also stands at an earlier place. Each window
+joins one first place, never each other: rows grow with the lines, also for one document of equal lines or for a hot line.
 
 Null texts stay null, empty ones and those without a repeated run stay as they are. Rows with a null doc_id stay as they
 are. Identical rows are one document (all copies lose the same lines); different texts of one doc_id count one after the
-other by text hash. A hot line costs a row a document: fingerprints join one first position, never each other.
-Every other column is carried along.
+other by text hash. A very long text is a row a line, sorted by Spark. Every other column is carried along.
 """
 
 from __future__ import annotations
@@ -18,78 +26,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, discard, materialise
 
 MATCH_WORDS = 50
 
 
-def _number(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+def _pair(c: Column) -> list[Column]:
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), lines (numbers from 0 of the lines to delete) of docs(doc_id, text)."""
+def windows(docs: DataFrame) -> DataFrame:
+    """A row for each window of docs(doc_id, text): doc_id, th, backward, the places (line, number among lines with words) of its
+    ends a and b, key (its content's hash), print and place of the selected minimum."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     rows = texts.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    rows = rows.withColumn("w", F.regexp_count("s", F.lit(WORD)).cast("long")).where("w > 0").select("doc_id", "th", "line", _number(F.col("s")).alias("h"), "w").distinct()
+    rows = rows.select("doc_id", "th", "line", F.regexp_count("s", F.lit(WORD)).cast("long").alias("w"), *_pair(F.col("s"))).where("w > 0")
+    # identical rows of one document collapse where the windows below need its lines anyway
+    rows = rows.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "line"])
     own = Window.partitionBy("doc_id", "th").orderBy("line")
-    rows = rows.withColumn("u", F.row_number().over(own)).withColumn("c", F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    ahead = Window.partitionBy("doc_id", "th").orderBy("c").rangeBetween(0, MATCH_WORDS - 1)
-    near = F.array_join(F.transform(F.collect_list("h").over(ahead), lambda x: x.cast("string")), ",")
-    rows = rows.withColumn("total", F.sum("w").over(ahead)).withColumn("low", F.min("h").over(ahead)).withColumn("g", F.when(F.col("total") >= MATCH_WORDS, _number(near)))
-    rows = materialise(rows.select("doc_id", "th", "line", "u", "h", "w", "low", "g"), "lines")
-    first = rows.where("g is not null").groupBy("low", "g").agg(F.min(F.struct("doc_id", "th", "u")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "g", "f")
-    seeds = rows.where("g is not null").join(first, ["low", "g"]).where(F.struct("doc_id", "th", "u") != F.col("f"))
-    diagonals = seeds.select("doc_id", "th", F.col("f.doc_id").alias("doc0"), F.col("f.th").alias("th0"), (F.col("u") - F.col("f.u")).alias("shift")).distinct()
-    base = rows.select(F.col("doc_id").alias("doc0"), F.col("th").alias("th0"), F.col("u").alias("u0"), "h")
-    same = rows.select("doc_id", "th", "line", "u", "h", "w").join(diagonals, ["doc_id", "th"]).withColumn("u0", F.col("u") - F.col("shift")).join(base, ["doc0", "th0", "u0", "h"])
-    diagonal = ["doc_id", "th", "doc0", "th0", "shift"]
-    runs = same.withColumn("run", F.col("u") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("u")))
-    runs = runs.withColumn("words", F.sum("w").over(Window.partitionBy(*diagonal, "run"))).where(F.col("words") >= MATCH_WORDS)
-    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    rows = rows.withColumn("u", F.row_number().over(own)).withColumn("end", F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("c", F.col("end") - F.col("w"))
+    here = Window.partitionBy("doc_id", "th")
+    ahead, behind = here.orderBy("c").rangeBetween(0, MATCH_WORDS - 1), here.orderBy("end").rangeBetween(1 - MATCH_WORDS, 0)
+
+    def window(over, backward: bool, a: Column, b: Column) -> Column:
+        low = F.min(F.struct("h1", (-F.col("u")).alias("u"))).over(over)
+        lists = [F.collect_list(h).over(over) for h in ("h1", "h2")]
+        key = F.struct(F.xxhash64(lists[0]).alias("x"), F.xxhash64(lists[1]).alias("y"))
+        return F.struct(F.lit(backward).alias("backward"), a.alias("a"), b.alias("b"), key.alias("key"), low["h1"].alias("print"), (-low["u"]).alias("place"))
+
+    at = F.struct("line", "u")
+    rows = rows.withColumn("fw", window(ahead, False, at, F.max(at).over(ahead))).withColumn("ft", F.sum("w").over(ahead))
+    rows = rows.withColumn("bw", window(behind, True, F.min(at).over(behind), at)).withColumn("bt", F.sum("w").over(behind))
+    # a window up to a line adds to those from a line on only where it holds MATCH_WORDS without its last line
+    both = F.array(F.when(F.col("ft") >= MATCH_WORDS, F.col("fw")), F.when(F.col("bt") - F.col("w") >= MATCH_WORDS, F.col("bw")))
+    return rows.select("doc_id", "th", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("v")).select("doc_id", "th", "v.*")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), spans (first, last: numbers from 0 of the lines to delete, in order) of docs(doc_id, text)."""
+    every = materialise(windows(docs), "windows")
+    place = F.struct("doc_id", "th", "place")
+    prints = every.groupBy("print").agg(F.min(place).alias("one"), F.max(place).alias("two")).where("one <> two").select("print")
+    near = every.join(prints, "print", "left_semi").select("doc_id", "th", "backward", "a", "b", "key")
+    here = F.struct("doc_id", "th", "a.line")
+    first = near.groupBy("backward", "key").agg(F.min(here).alias("f"), F.max(here).alias("l")).where("f <> l").select("backward", "key", "f")
+    copies = near.join(first, ["backward", "key"]).where(here != F.col("f")).select("doc_id", "th", "a", "b").distinct()
+    order = Window.partitionBy("doc_id", "th").orderBy("a.u", "b.u")
+    reach = F.max("b.u").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = copies.withColumn("new", (F.coalesce(reach, F.lit(-1)) + 1 < F.col("a.u")).cast("int")).withColumn("span", F.sum("new").over(order))
+    spans = spans.groupBy("doc_id", "th", "span").agg(F.struct(F.min("a.line").alias("first"), F.max("b.line").alias("last")).alias("s"))
+    out = materialise(spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("s")).alias("spans")), "repeats")
+    discard(every)
+    return out
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:
-    """docs and __lines: the lines to delete, or null."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
+    """docs and __spans: the lines to delete, or null."""
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     out = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
-    return out.select(*docs.columns, "__lines")
+    return out.select(*docs.columns, "__spans")
 
 
 def _left() -> Column:
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
-    return F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    """The text without the spans' lines, as the slices between them: time grows with the lines."""
+    parts, n = F.split("text", "\n", -1), F.size("__spans")
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.element_at("__spans", F.greatest(k, F.lit(1)))["last"] + 1)
+    stop = lambda k: F.when(k == n, F.size(parts)).otherwise(F.element_at("__spans", F.least(k + 1, n))["first"])
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(parts, begin(k) + 1, stop(k) - begin(k))))
+    return F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without later repeated runs, and n_lines, n_removed (0 for null texts); they replace columns of that name."""
     out = _with_repeats(docs)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     cols = [_left().alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*cols, lines.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*cols, lines.alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, same columns, without later repeated runs; n_chars follows the text, and a document that lost every line with a
     word is dropped."""
-    out = _with_repeats(docs).withColumn("__left", _left()).where(F.col("__lines").isNull() | F.col("__left").rlike(WORD))
+    out = _with_repeats(docs).withColumn("__left", _left()).where(F.col("__spans").isNull() | F.col("__left").rlike(WORD))
     of = {"text": F.col("__left")}
     if "n_chars" in docs.columns:
-        of["n_chars"] = F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("__left").cast(docs.schema["n_chars"].dataType))
+        of["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__left").cast(docs.schema["n_chars"].dataType))
     return out.select(*[of[c].alias(c) if c in of else F.col(c) for c in docs.columns])
 
 
-#: DuckDB SQL over a relation with unique doc_id, and text: doc_id, lines to delete.
+#: DuckDB SQL over a relation with unique doc_id, and text: doc_id, lines to delete. By the definition alone: every pair of
+#: equal lines, the longest runs of such pairs, those of MATCH_WORDS words; then the blank lines between deleted ones.
 REPEATED_SQL = rf"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {{documents}} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS s FROM s),
-r AS (SELECT doc_id, line, CAST(('0x' || md5(s)[1:15]) AS BIGINT) AS h, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w FROM x),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS u, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) - w AS BIGINT) AS c FROM r WHERE w > 0),
-a AS (SELECT *, sum(w) OVER n AS total, min(h) OVER n AS low, array_to_string(list(h) OVER n, ',') AS g FROM o WINDOW n AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND {MATCH_WORDS - 1} FOLLOWING)),
-f AS (SELECT low, g, min((doc_id, u)) AS f FROM a WHERE total >= {MATCH_WORDS} GROUP BY 1, 2),
-d AS (SELECT DISTINCT a.doc_id, f.f[1] AS doc0, a.u - f.f[2] AS shift FROM a JOIN f ON a.low = f.low AND a.g = f.g WHERE a.total >= {MATCH_WORDS} AND (a.doc_id, a.u) <> f.f),
-m AS (SELECT d.doc_id, d.doc0, d.shift, p.line, p.u, p.w FROM d JOIN o p ON p.doc_id = d.doc_id JOIN o q ON q.doc_id = d.doc0 AND q.u = p.u - d.shift AND q.h = p.h),
+r AS (SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w FROM x),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS u FROM r WHERE w > 0),
+m AS (SELECT p.doc_id, q.doc_id AS doc0, p.u - q.u AS shift, p.line, p.u, p.w FROM o p JOIN o q ON q.s = p.s AND (q.doc_id, q.u) < (p.doc_id, p.u)),
 i AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id, doc0, shift ORDER BY u) AS run FROM m),
 k AS (SELECT doc_id, line, sum(w) OVER (PARTITION BY doc_id, doc0, shift, run) AS words FROM i),
-gone AS (SELECT doc_id, list(DISTINCT line) AS lines FROM k WHERE words >= {MATCH_WORDS} GROUP BY 1)
+g AS (SELECT DISTINCT doc_id, line FROM k WHERE words >= {MATCH_WORDS}),
+v AS (SELECT o.doc_id, o.line, g.line IS NOT NULL AS del, lead(o.line) OVER n AS next, lead(g.line IS NOT NULL) OVER n AS also FROM o LEFT JOIN g USING (doc_id, line) WINDOW n AS (PARTITION BY o.doc_id ORDER BY o.line)),
+e AS (SELECT doc_id, unnest(range(line, CASE WHEN also THEN next ELSE line + 1 END)) AS line FROM v WHERE del),
+gone AS (SELECT doc_id, list(line) AS lines FROM e GROUP BY 1)
 """

@@ -368,6 +368,41 @@ def test_line_dedup_against_sql(spark):
     assert max(left.values()) == 1
 
 
+def brute_repeats(rows):
+    """Lines to delete of each document: those of runs of 50 words that also stand earlier, and blank ones between them."""
+    lines = {k: [(i, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for k, t, *_ in sorted(x for x in rows if x[1] is not None)}
+    out, before = {}, []
+    for k, mine in lines.items():
+        gone = set()
+        for i in range(len(mine)):
+            for other, stop in [*((x, len(x)) for x in before), (mine, i)]:
+                for j in range(stop):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n][1] == other[j + n][1]:
+                        n += 1
+                    if sum(x[2] for x in mine[i : i + n]) >= 50:
+                        gone |= set(range(i, i + n))
+        before.append(mine)
+        out[k] = {x for i in gone for x in range(mine[i][0], mine[i + 1][0] if i + 1 in gone else mine[i][0] + 1)}
+    return out
+
+
+@pytest.mark.parametrize("seed", [2, 3, 4])
+def test_line_dedup_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = [prose(r, r.choice([1, 3, 9, 26, 49, 60])) for _ in range(9)]
+    rows = [(k, "\n".join(r.choice([*pool, *pool, "", " ", prose(r, 8)]) for _ in range(r.randrange(1, 14))), "en", "a") for k in range(45)]
+    gone = brute_repeats(rows)
+    want = {k: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]), len(gone[k])) for k, t, *_ in rows}
+    assert {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(docs(spark, rows)).collect()} == want
+    assert sum(n for _, n in want.values()) > 40
+
+
+def test_line_dedup_of_one_document_of_equal_lines(spark):
+    out = line_dedup.dedup_lines(docs(spark, [(1, "\n".join([prose(random.Random(1), 60)] * 20_000), "en", "a"), (2, "\n".join(["tick"] * 20_000), "en", "a")])).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed) for x in out} == {1: (20_000, 19_999), 2: (20_000, 19_999)}
+
+
 def test_line_dedup_edges(spark):
     twice = [(1, prose(random.Random(1), 60), "en", "a")] * 2 + [(None, prose(random.Random(1), 60), "en", "a"), (2, prose(random.Random(1), 60), "en", "a")]
     out = line_dedup.dedup_lines(docs(spark, twice))
