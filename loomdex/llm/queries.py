@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, toxicity, warc
 from .common import table
@@ -42,8 +43,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document a mix to target weights takes."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("draws")
+    """How many words of each document a mix to target weights takes, and into which shards."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.withColumn("draws", mixing.draws_text(F.col("draws")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

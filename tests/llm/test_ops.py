@@ -530,7 +530,7 @@ def test_mixing(spark):
     assert again == {k: x.taken for k, x in got.items()}
     c = duckdb.connect()
     c.register("d", pd.DataFrame([(k, t, s) for k, t, _, s in rows], columns=["doc_id", "text", "source"]))
-    assert {x[0]: x[4] for x in c.execute(mixing.mixing_sql("d")).fetchall()} == again
+    assert {x[0]: x[4:] for x in c.execute(mixing.mixing_sql("d")).fetchall()} == {x.doc_id: (x.taken, x.draws) for x in out.withColumn("draws", mixing.draws_text(F.col("draws"))).collect()}
     shards = mixing.shards(out)
     assert shards.agg(F.sum("words")).first()[0] == sum(again.values()) and shards.select("shard").distinct().count() == mixing.SHARDS
     counts = [r["count"] for r in shards.select("shard", "doc_id", "copy").groupBy("shard").count().collect()]
@@ -539,6 +539,21 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_splitting_tree(spark):
+    units = spark.createDataFrame([(f"s{k % 9}", k // 9 + 1) for k in range(901)], "skey string, k long")
+    got = mixing.shard_counts(units).collect()
+    total = collections.Counter(x.shard for x in got)
+    assert sorted(total) == list(range(mixing.SHARDS)) and max(total.values()) - min(total.values()) <= 1 and sum(total.values()) == 901
+    per = collections.defaultdict(list)
+    for x in sorted(got, key=lambda x: (x.skey, x.ticket)):
+        per[x.skey].append((x.ticket, x.shard))
+    for v in per.values():  # every ticket once, shard by shard
+        assert [t for t, _ in v] == list(range(1, len(v) + 1)) and [s for _, s in v] == sorted(s for _, s in v)
+    # hypergeometric counts: mean 901 / 9 / 8, variance about 11
+    counts = np.array([collections.Counter(s for _, s in v)[k] for v in per.values() for k in range(mixing.SHARDS)])
+    assert 4 < counts.var() < 22 and abs(counts.mean() - 901 / 72) < 1e-9
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [(x.target, x.taken) for x in mixing.mix(docs(spark, [(1, "", "en", None), (2, None, "en", "a")])).collect()] == [(0.0, 0), (0.0, 0)]
