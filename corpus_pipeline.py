@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages: rules, line dedup, near duplicates, decontamination, mixing."""
+"""A corpus pipeline of five stages: rules, line dedup, near duplicates, decontamination, mixing.
+
+Rows with a null doc_id pass the stages on their own merits: they are no one's copy, and their lines stay. Null and empty texts
+fail the rules. Of equal copies the smallest doc_id stays; repeated rows of one doc_id stay or go together. Columns beside
+those of documents are carried to the last stage. Empty tables give no rows. Texts are judged whole, whatever their length.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +34,9 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs).drop("draws")
+    """How many words of each document the mix takes, and into which shards."""
+    mixed = mixing.mix(docs)
+    return mixed.withColumn("draws", mixing.draws_text(mixed["draws"]))
 
 
 STAGES = [("quality", _quality), ("line_dedup", _lines), ("near_duplicates", _near), ("decontamination", _decontaminate), ("mixing", _mix)]
