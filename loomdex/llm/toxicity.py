@@ -3,12 +3,14 @@
 A text's features are the hashes of its distinct words (lower-cased, outer punctuation off) and of their first STEM letters. The score is the logistic of
 w0 + sum w_i + sum_{i<j} <v_i, v_j>: pairs such as an insult with a group's mention add to what single words say. The
 machine is trained on the driver from a bounded sample of labelled rows, MOST_POSITIVE and MOST_NEGATIVE of each class by
-hash order of doc_id, near copies once. It holds all features that MIN_ROWS sampled rows have, so the model that goes to
-every task is bounded by the sample. Each feature's value is how far its share of class 1 is off, alone or among the rows
-of a feature that is itself MIN_Z standard deviations off: 1 from MIN_Z on, below that the POWER-th power of the part
-reached, which keeps chance features small. Every row is scored over its whole text.
-
-Null and empty texts score as the bias alone. With no labelled rows, or those of one class, all scores are the share of
+hash order of doc_id, as far as MOST_TERMS terms in all go (a row that no longer fits is passed over), near copies once. It holds all
+features that MIN_ROWS sampled rows have, so the model that goes to every task is bounded by the sample. Each feature's
+value is how far its share of class 1 is off, alone, among the rows of a feature that is itself MIN_Z standard deviations
+off, or beside one of the PAIRED most frequent features that tell nothing alone (PAIR_Z, as there are many pairs): 1 from
+that bound on, below it the POWER-th power of the part reached, which keeps chance features small. Every row is scored over
+its whole text.
+
+A very long text is scored as any other. A score of exactly 0.5 is predicted 1. Null and empty texts score as the bias alone. With no labelled rows, or those of one class, all scores are the share of
 class 1 (0 without rows). Repeated label rows count once; null labels and null doc_ids are not learned from. Repeated
 documents and null doc_ids keep a row each. Other columns are ignored.
 """
@@ -21,8 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.2, 1e-6
 MOST_POSITIVE, MOST_NEGATIVE, MIN_ROWS, MIN_Z, POWER = 4000, 8000, 4, 4.0, 4
+MOST_TERMS, PAIRED, PAIR_Z = 8_000_000, 2048, 7.0
 STEM = 5
 _ORDERS = (2654435761, 2246822519, 3266489917)
 _TRIM = ".,;:!?\"'()[]{}*#$%&|<>-_~`/\\"
@@ -58,6 +63,30 @@ def shares(up, n, p: float):
     return (up - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
 
 
+def together(each: list[np.ndarray], y: np.ndarray, df: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """How far the share of class 1 is off where two features meet that both tell nothing alone: per feature the highest of its
+    pairs, scaled so that PAIR_Z becomes MIN_Z; 0 for features that tell or aren't looked at."""
+    out = np.zeros(len(df))
+    plain = np.flatnonzero((z < MIN_Z) & (df >= MIN_ROWS))
+    plain = plain[np.lexsort((plain, -df[plain]))[:PAIRED]]
+    if len(plain) < 2:
+        return out
+    place = np.full(len(df), -1)
+    place[plain] = np.arange(len(plain))
+    both, up = np.zeros((len(plain), len(plain)), np.float32), np.zeros((len(plain), len(plain)), np.float32)
+    for k in range(0, len(each), 1024):
+        x = np.zeros((len(each[k : k + 1024]), len(plain)), np.float32)
+        for i, e in enumerate(each[k : k + 1024]):
+            at = place[e]
+            x[i, at[at >= 0]] = 1
+        both += x.T @ x
+        up += x.T @ (x * y[k : k + 1024, None].astype(np.float32))
+    off = np.where(both >= MIN_ROWS, np.abs(shares(up, both, y.mean())), 0)
+    np.fill_diagonal(off, 0)
+    out[plain] = off.max(axis=1) * (MIN_Z / PAIR_Z)
+    return out
+
+
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
     """Mini-batch AdaGrad on the logistic loss; rows: terms() of each text."""
     y = np.array(labels, float)
@@ -84,6 +113,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Machine:
             n = np.bincount(np.concatenate([each[i] for i in own]), minlength=len(ids))
             k = np.bincount(np.concatenate([each[i] for i in own if y[i]]), minlength=len(ids))
             z = np.maximum(z, np.where(n >= MIN_ROWS, np.abs(shares(k, n, p)), 0))
+    z = np.maximum(z, together(each, y, df, z))
     del each, at, of, by
     kept = df >= MIN_ROWS
     ids, scale = ids[kept], np.minimum(1, z[kept] / MIN_Z) ** POWER
@@ -127,18 +157,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id"), 5) != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = marked.where("toxic = 1").orderBy(*order).limit(MOST_POSITIVE).union(marked.where("toxic = 0").orderBy(*order).limit(MOST_NEGATIVE))
-    wanted = {r.doc_id: r.toxic for r in chosen.collect()}  # MOST_POSITIVE + MOST_NEGATIVE at most
-    keys = np.array(sorted(wanted), np.int64)
+    chosen = materialise(chosen, "toxic-sample")  # MOST_POSITIVE + MOST_NEGATIVE rows at most
 
     def features(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(np.isin(ids, keys)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[i])]), pa.array([terms(b.column(1)[i].as_py()).astype(np.uint32).tobytes()], pa.binary())], names=["doc_id", "terms"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, terms binary").collect() if wanted else []
-    seen = {r.doc_id: r.terms for r in sorted(rows, key=lambda r: (r.doc_id, r.terms))}
-    return train([np.frombuffer(t, np.uint32).astype(np.int64) for _, t in sorted(seen.items())], [wanted[k] for k in sorted(seen)])
+            for i in range(b.num_rows):
+                t = terms(b.column(1)[i].as_py()).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([len(t)], pa.int64()), pa.array([t.tobytes()], pa.binary())], names=["doc_id", "toxic", "n", "terms"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, toxic int, n long, terms binary")
+    rows = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("terms", "n", "toxic")).alias("r")).select("doc_id", "r.*"), "toxic-terms")
+    # both classes share the bound on terms in the order of the sample
+    kept, held = [], {0: 0, 1: 0}
+    for r in rows.select("doc_id", "toxic", "n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        if held[r.toxic] + r.n <= MOST_TERMS // 2:
+            held[r.toxic] += r.n
+            kept.append(r.doc_id)
+    keys = rows.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")
+    got = sorted(rows.join(F.broadcast(keys), "doc_id").select("doc_id", "toxic", "terms").collect())
+    discard(chosen, rows)
+    return train([np.frombuffer(r.terms, np.uint32).astype(np.int64) for r in got], [r.toxic for r in got])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:

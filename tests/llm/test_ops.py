@@ -728,6 +728,27 @@ def test_toxicity_of_terms_that_tell_in_pairs_or_are_rare():
     assert m.score(toxicity.terms("wretch")) > m.score(toxicity.terms("unseen"))  # five toxic rows
 
 
+@pytest.mark.parametrize("filler", [8, 30])
+def test_toxicity_of_exactly_one_of_two_words(filler):
+    # neither word tells alone, and no third one helps
+    r = random.Random(5)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(" ".join([*["alpha"] * a, *["bravo"] * b, *(r.choice(WORDS) for _ in range(filler))]))
+        labels.append(int(a != b))
+    m = toxicity.train([toxicity.terms(t) for t in rows[:3200]], labels[:3200])
+    assert sum((m.score(toxicity.terms(t)) >= 0.5) == y for t, y in zip(rows[3200:], labels[3200:], strict=True)) > 0.9 * 800
+
+
+def test_toxicity_sample_is_bounded_by_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 400)
+    rows = [(k, f"{'bad' if k % 2 else 'good'} " + " ".join(f"x{k}y{j}" for j in range(20)), "en", "a") for k in range(200)] + [(300, "bad " + "word " * 200_000, "en", "a")]
+    lab = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(docs(spark, rows), lab).collect()}
+    assert all(got[k] == k % 2 for k in range(200)) and got[300] == 1
+
+
 # queries
 
 
