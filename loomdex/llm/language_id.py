@@ -1,12 +1,18 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton of a bounded sample of labelled text (the first SAMPLE_TEXT characters of each text,
-from its first letter on, by hash order of doc_id, until SAMPLE_CHARS; the first one always, cut to that) tells the longest match at any point. A text is cut greedily into longest
-matches, language by language; the language that needs the fewest phrases per character wins, ties going to the first
-name. Texts are folded first: lower case, and each run of characters that aren't letters becomes one space.
+For each language a suffix automaton of a bounded sample of labelled text tells the longest match at any point. A text is cut
+greedily into longest matches, language by language; the language that needs the fewest phrases per character wins, ties
+going to the first name. Texts are folded first: lower case, and each run of characters that aren't letters becomes one
+space. The DIRECT most frequent letters of the sample are a symbol each; any other letter is spelled by the three digits of
+its code point in base 64, so that all letters stay apart in every script.
 
-The automata are dense tables, walked for many text segments of SEGMENT characters at once; a segment starts a phrase, for
-every language alike. score is the share of the winner under code lengths of one nat a phrase.
+The sample: up to SAMPLE_DOCS texts a language, fewer where that makes more than MOST_DOCS in all, by hash order of
+doc_id. Of each the first SAMPLE_TEXT characters from its first letter on count (or the language's share, if that is less),
+until the language has its share of TOTAL_SYMBOLS, SAMPLE_SYMBOLS at most; the first text is always learned from, cut to that. More than MOST_LANGS labels are an
+error, as each has a table that goes to every task.
+
+The automata are dense tables, walked for many text segments of SEGMENT symbols at once; a segment starts a phrase, for
+every language alike. Long texts are just more segments. score is the share of the winner under code lengths of one nat a phrase.
 
 Null texts, and texts without a letter, get und and score 0, as do all texts when nothing is labelled. Rows with a null
 lang or doc_id are not learned from. Repeated rows and null doc_ids keep a row each. Other columns are ignored.
@@ -21,28 +27,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
 from .toxicity import fold
 
-SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_CHARS, TOTAL_CHARS = 200, 20_000, 40_000, 200_000
-SEGMENT, BATCH_CHARS, MOST_LETTERS = 256, 1_000_000, 124
-SPACE, OTHER = 0, 1
+SAMPLE_DOCS, MOST_DOCS, SAMPLE_TEXT, SAMPLE_SYMBOLS, TOTAL_SYMBOLS, MOST_LANGS = 200, 20_000, 20_000, 40_000, 200_000, 1000
+SEGMENT, BATCH_CHARS, DIRECT, BASE = 256, 1_000_000, 62, 64
+#: Symbols: a space, the digits of spelled letters from 1 on, the direct letters after them.
+SPACE, SPELLED, FIRST = 0, 255, 1 + BASE
 _END = 1 << 30
 _letters: list = []
 
 
 def letter_table() -> np.ndarray:
-    """Whether each code point is a letter."""
+    """Whether each code point is a letter or a mark on one; all are below BASE ** 3 but variation selectors, which aren't."""
     if not _letters:
-        _letters.append(np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000))
+        letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        letters[BASE**3 :] = False
+        _letters.append(letters)
     return _letters[0]
 
 
 def fold_text(text: str, symbol: np.ndarray) -> np.ndarray:
     """Symbols of a text; empty if it has no letter."""
-    s = symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = symbol[code]
     if not s.any():
         return s[:0]
-    return s[np.r_[True, (s[1:] != SPACE) | (s[:-1] != SPACE)]]
+    keep = np.r_[True, (s[1:] != SPACE) | (s[:-1] != SPACE)]
+    s = s[keep]
+    spelled = s == SPELLED
+    if not spelled.any():
+        return s
+    code, size = code[keep], np.where(spelled, 3, 1)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    out[at[~spelled]] = s[~spelled]
+    for k, unit in enumerate((BASE * BASE, BASE, 1)):
+        out[at[spelled] + k] = 1 + code[spelled] // unit % BASE
+    return out
 
 
 class SuffixAutomaton:
@@ -96,14 +118,21 @@ class CrossParser:
             for t in texts:
                 c = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
                 counts += np.bincount(c[letters[c]], minlength=0x110000)
-        known = [int(c) for c in np.argsort(-counts, kind="stable")[:MOST_LETTERS] if counts[c]]
-        self.known, self.symbols = known, len(known) + 2
-        symbol = self.symbol_table()
-        self.tables = [SuffixAutomaton([x for t in samples[g] for x in [*fold_text(t, symbol).tolist(), SPACE]]).dense(self.symbols) for g in self.langs]
+        self.known = [int(c) for c in np.argsort(-counts, kind="stable")[:DIRECT] if counts[c]]
+        self.symbols = FIRST + len(self.known)
+        symbol, self.tables = self.symbol_table(), []
+        most = min(SAMPLE_SYMBOLS, TOTAL_SYMBOLS // max(1, len(samples)))
+        for g in self.langs:
+            seq: list[int] = []
+            for t in samples[g]:
+                s = [*fold_text(t, symbol)[: None if seq else most - 1].tolist(), SPACE]
+                if len(seq) + len(s) <= most:  # a text that no longer fits is passed over
+                    seq += s
+            self.tables.append(SuffixAutomaton(seq).dense(self.symbols))
 
     def symbol_table(self) -> np.ndarray:
-        out = np.where(letter_table(), OTHER, SPACE).astype(np.uint8)
-        out[self.known] = np.arange(2, len(self.known) + 2)
+        out = np.where(letter_table(), SPELLED, SPACE).astype(np.uint8)
+        out[self.known] = np.arange(FIRST, self.symbols)
         return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -145,17 +174,22 @@ class CrossParser:
 def learn(docs: DataFrame) -> CrossParser:
     """From labelled rows outside fold 2 of 4."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null").where((fold(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
+    langs = [r.lang for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not langs:
+        return CrossParser({})
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= SAMPLE_DOCS).collect()
-    piece = F.substring(F.regexp_replace("text", r"\A\P{L}++", ""), 1, SAMPLE_TEXT).alias("text")
-    texts = {(r.lang, r.doc_id): r.text for r in rows.where(F.col("doc_id").isin([r.doc_id for r in chosen])).select("doc_id", "lang", piece).collect()} if chosen else {}
-    most = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, len({r.lang for r in chosen})))
+    chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= max(1, min(SAMPLE_DOCS, MOST_DOCS // len(langs))))
+    chosen = materialise(chosen, "language-sample")  # MOST_DOCS rows at most
+    size = min(SAMPLE_TEXT, SAMPLE_SYMBOLS, TOTAL_SYMBOLS // len(langs))
+    piece = F.substring(F.regexp_replace("text", r"\A\P{L}++", ""), 1, size).alias("text")
     samples: dict[str, list[str]] = {}
-    for r in sorted(chosen, key=lambda r: (r.lang, r.r)):
+    for r in sorted(rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "r", piece).collect()):
         held = samples.setdefault(r.lang, [])
-        text = texts[r.lang, r.doc_id] if held else texts[r.lang, r.doc_id][:most]
-        if text not in held and (not held or sum(map(len, held)) + len(text) <= most):
-            held.append(text)
+        if r.text not in held:
+            held.append(r.text)
+    discard(chosen)
     return CrossParser(samples)
 
 

@@ -312,25 +312,46 @@ def test_language_of_long_texts_only(spark):
     assert all(got[k].lang_pred == g for k, _, g, _ in rows) and any(got[k].held_out for k in range(20, 32))
 
 
+def test_language_of_many_letters(spark):
+    # two languages of one script with thousands of letters, beside two in others
+    r = random.Random(14)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    sound = {"h1": signs[:2000], "h2": signs[1000:], "la": list("abcdefgh"), "cy": [chr(c) for c in range(0x430, 0x450)]}
+    texts = {g: ["".join(r.choice(x) for _ in range(r.randrange(1, 4))) for _ in range(400)] for g, x in sound.items()}
+    rows = [(k, " ".join(r.choice(texts[g]) for _ in range(r.choice([30, 90]))), g, "a") for k in range(200) for g in [sorted(sound)[k % 4]]]
+    got = {x.doc_id: x for x in language_id.language(docs(spark, rows)).collect()}
+    held = [got[k].lang_pred == g for k, _, g, _ in rows if got[k].held_out]
+    assert len(held) > 30 and sum(held) == len(held)
+    p = language_id.CrossParser({"x": ["a"]})
+    assert language_id.fold_text("a\u6f22 \U000E0100a", p.symbol_table()).tolist() == [65, 1 + 6, 1 + 0x6F22 // 64 % 64, 1 + 0x6F22 % 64, 0, 65]
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(docs(spark, [(k, "some text", f"g{k}", "a") for k in range(30)]))
+
+
 def test_automaton_phrases_equal_plain_parsing():
     r = random.Random(2)
     sample = "".join(r.choice("abc ") for _ in range(300))
     p = language_id.CrossParser({"x": [sample], "y": ["abab"]})
     symbol = p.symbol_table()
     train = {g: "".join(chr(97 + s) for s in [*language_id.fold_text(t, symbol), 0]) for g, t in (("x", sample), ("y", "abab"))}
-    for _ in range(30):
-        text = "".join(r.choice("abcd ") for _ in range(200))
+    for size in [200] * 30 + [256, 257, 1000, 1537]:
+        text = "".join(r.choice("abcd ") for _ in range(size))
         s = language_id.fold_text(text, symbol)
         coded = "".join(chr(97 + c) for c in s)
         for k, g in enumerate("xy"):
-            n, at = 1, 0  # the segment's first phrase is counted from its start
-            cur = ""
-            for c in coded:
-                if cur + c in train[g]:
-                    cur += c
-                else:
-                    n, cur = n + 1, c if c in train[g] else ""
-            assert p.phrases([s])[0, k] == n, (g, text, at)
+            n = 0
+            for at in range(0, len(coded), language_id.SEGMENT):  # a segment's first phrase is counted from its start
+                n, cur = n + 1, ""
+                for c in coded[at : at + language_id.SEGMENT]:
+                    if cur + c in train[g]:
+                        cur += c
+                    else:
+                        n, cur = n + 1, c if c in train[g] else ""
+            assert p.phrases([s])[0, k] == n, (g, text)
 
 
 # line dedup
