@@ -12,7 +12,10 @@ Counts leave a task pre-added, one row per word and task; the words of texts tha
 task and text, and are counted once. Pairs of entity and term exist only within contexts; texts are kept beside the counts
 only where they hold an entity.
 
-Null and empty texts have no spans (base_sha256 is that of an empty string). Repeated rows and null doc_ids keep a row
+What is found is generalised to its kind, as [EMAIL], and disclosing terms are removed: clean_sha256 is the hash of the text
+that is left, null where nothing was found.
+
+Null and empty texts have no spans (base_sha256 is that of an empty string). A very long text is scanned whole, in time that grows with its length. Repeated rows and null doc_ids keep a row
 each; copies are one context. Other columns are ignored.
 """
 
@@ -168,32 +171,45 @@ def disclosing(near: DataFrame, counts: DataFrame, texts: int) -> DataFrame:
     return both.where((own > 0) & (pmi >= THRESHOLD * own)).select("entity", "term", pmi.alias("pmi"))
 
 
-def _digest(base: str, more: list[str]) -> tuple:
+def clean_text(text: str | None, spans: str | None) -> str | None:
+    """text with each span generalised to its kind, as [EMAIL], and terms removed."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for kind, s, e in (x.split(":") for x in spans.split(",")):
+        if int(s) >= at:
+            out += [text[at : int(s)], "" if kind == "term" else f"[{kind.upper()}]"]
+        at = max(at, int(e))
+    return "".join([*out, text[at:]])
+
+
+def _digest(base: str, every: str | None) -> tuple:
     kinds = Counter(x.partition(":")[0] for x in base.split(",") if x)
-    every = [x.split(":") for x in [*base.split(","), *more] if x]
-    every.sort(key=lambda x: (int(x[1]), KINDS.index(x[0]), int(x[2])))
-    return *(kinds.get(k, 0) for k in KINDS[:4]), hashlib.sha256(base.encode()).hexdigest(), ",".join(map(":".join, every))
+    return *(kinds.get(k, 0) for k in KINDS[:4]), hashlib.sha256(base.encode()).hexdigest(), base if every is None else every
 
 
 def _mark(batches):
-    """All places of the given terms in each text."""
+    """All spans of each text with those of the given terms, their number, and the hash of the text without them."""
     for b in batches:
-        more = []
+        rows = []
         for text, told in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            text, told = text.as_py(), set(told)
-            more.append([f"term:{s}:{e}" for w, s, e in terms_outside(text, base_spans(text)) if w in told])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(more, pa.list_(pa.string()))], names=["row", "more"])
+            text, told = text.as_py(), set(told or ())
+            base = base_spans(text)
+            found = [(s, k, e) for s, k, e, _ in base] + [(s, KINDS.index("term"), e) for w, s, e in terms_outside(text, base) if w in told]
+            spans = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+            rows.append((spans, len(found), hashlib.sha256(clean_text(text, spans).encode("utf-8", "surrogatepass")).hexdigest()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(3))], names=["row", "every", "n_spans", "clean_sha256"])
 
 
 def _finish(batches):
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "clean_sha256"]
     for b in batches:
-        rows = [_digest(base, more or []) for base, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6))], names=names)
+        rows = [_digest(base, every) for base, every in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)), b.column(3), b.column(4)], names=names)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256 and spans for every row of docs(doc_id, text)."""
+    """doc_id, counts, base_sha256, spans, n_spans and clean_sha256 for every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     digests = materialise(rows.groupBy("digest").count(), "pii-digests")
     copies = materialise(digests.where("count > 1").select(F.col("digest").alias("copied")), "pii-copies")
@@ -204,8 +220,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     counts = made.where("n is not null").select("term", "n").union(once).groupBy("term").agg(F.sum("n").alias("df"))
     told = disclosing(near, counts, digests.count())
     held = near.where("term is null").select("row", "entity").distinct().join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    more = made.where("text is not null").select("row", "text").join(held, "row").select("row", "text", "terms").mapInArrow(_mark, "row long, more array<string>")
-    return base.join(more, "row", "left").select("doc_id", "spans", "more").mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    more = made.where("text is not null").select("row", "text").join(held, "row", "left").select("row", "text", "terms").mapInArrow(_mark, "row long, every string, n_spans long, clean_sha256 string")
+    found = base.join(more, "row", "left").select("doc_id", "spans", "every", F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "clean_sha256")
+    return found.mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, clean_sha256 string")
 
 
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -214,20 +231,10 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows without spans, and null texts, stay as they are. doc_id must be unique in found.
     """
 
-    def clean(text, spans):
-        if not text or not spans:
-            return text
-        out, at = [], 0
-        for kind, s, e in (x.split(":") for x in spans.split(",")):
-            if int(s) >= at:
-                out += [text[at : int(s)], "" if kind == "term" else f"[{kind.upper()}]"]
-            at = max(at, int(e))
-        return "".join([*out, text[at:]])
-
     def run(batches):
         for b in batches:
             k, spans = b.schema.get_field_index("text"), b.column("__spans").to_pylist()
-            texts = pa.array([clean(t.as_py(), s) for t, s in zip(b.column(k), spans, strict=True)], pa.string())
+            texts = pa.array([clean_text(t.as_py(), s) for t, s in zip(b.column(k), spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == k else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
     joined = docs.join(found.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__doc"), "left").select(*docs.columns, "__spans")

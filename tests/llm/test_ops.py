@@ -168,11 +168,56 @@ def test_personal_data(spark):
     assert {"quixotic", "warden"} <= words and not {"about", "the", "again", "wrote", "words"} & words
     assert got[900].base_sha256 == hashlib.sha256(b"").hexdigest() and got[900].spans == "" and got[11].spans == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows[:5]), spark.createDataFrame([got[k] for k in range(4)])).collect()}
+    assert all(got[k].clean_sha256 == hashlib.sha256(clean[k].encode()).hexdigest() and got[k].n_spans == got[k].spans.count(":") // 2 for k in range(4)) and got[11].clean_sha256 is None
     assert "[EMAIL]" in clean[0] and "warden" not in clean[0] and "secret" not in clean[0] and clean[10] == rows[4][1]
     assert pii.personal_data(docs(spark, [])).count() == 0
     assert pii.personal_data(docs(spark, ODD)).count() == len(ODD)
 
 
+def brute_terms(texts):
+    """Disclosing terms of each text's spans by the definition, over distinct texts."""
+    distinct = sorted({t for t in texts if t})
+    df, of, co = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for t in distinct:
+        df.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+        base = [(s, e, f"{k}:{v}") for s, k, e, v in pii.base_spans(t)]
+        free = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(s < m.end() and m.start() < e for s, e, _ in base)]
+        for s, e, entity in base:
+            near = [w for i, j, w in free if j <= s][-pii.NEAR :] + [w for i, _, w in free if i >= e][: pii.NEAR]
+            of[entity].add(tuple(near))
+            for w in near:
+                co[entity, w].add(tuple(near))
+    n, told = len(distinct), collections.defaultdict(set)
+    for (entity, w), cs in co.items():
+        own = np.log2(n / len(of[entity]))
+        if len(cs) >= pii.SUPPORT and own > 0 and np.log2(n * len(cs) / (len(of[entity]) * df[w])) >= pii.THRESHOLD * own:
+            told[entity].add(w)
+    out = []
+    for t in texts:
+        base = [(s, e, f"{k}:{v}") for s, k, e, v in pii.base_spans(t or "")]
+        mine = set().union(*(told[entity] for _, _, entity in base))
+        out.append([f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0].lower() in mine and not any(s < m.end() and m.start() < e for s, e, _ in base)])
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    r = random.Random(23)
+    names, texts = [f"mail{k}@host{k}.org" for k in range(6)] + ["10.0.0.7", "+49 30 1234567"], []
+    rare = {e: [f"{a}ville{a}" for a in (chr(97 + k), chr(107 + k))] for k, e in enumerate(names)}
+    fill = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)] + ["İstanbul", "Straße", "ΣΊΣΥΦΟΣ"]
+    for _ in range(220):
+        w = [r.choice(fill) for _ in range(r.randrange(3, 40))]
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            e = r.choice(names)
+            i = r.randrange(len(w) + 1)
+            w[i:i] = r.sample([*rare[e], e, *(["İstanbul"] if e == names[0] else [])], k=len(rare[e]) + 1) if r.random() < 0.8 else [e]
+        texts.append(" ".join(w))
+    texts += texts[:60] + [None, ""]
+    got = {x.doc_id: [s for s in x.spans.split(",") if s.startswith("term")] for x in pii.personal_data(docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).repartition(5)).collect()}
+    want = brute_terms(texts)
+    assert [got[k] for k in range(len(texts))] == want and sum(map(len, want)) > 50
+
+
 def test_terms_of_copied_documents(spark):
     # df and N count a text once, however many copies of it there are, as contexts do
     told = [f"filler{own} words by the quixotic warden wrote to chief.secret@hidden.org about {own}s again" for own in ["red", "blue", "green"]]
