@@ -721,7 +721,12 @@ def test_references_are_the_corpus_counts(spark):
         ("<body><div id=menu><a>a</a> menu words here that are long enough to look like a text of some kind</div><div id=content><p>" + "Real text. " * 20 + "</p><p>Short.</p></div><div class=comments><p>" + "A comment by a reader. " * 20 + "</p></div><form>Search <input></form></body>", "Real text. " * 19 + "Real text.\nShort."),
         ("<main><p>a<!-- no --><aside>side</aside><p>b &lt;c&gt; &#233;&#x41;</main>", "a\nb <c> éA"),
         ("<article><p>cut in the midd", "cut in the midd"),
-        ("plain words only", ""),
+        ("plain words only", "plain words only"),
+        ("<p>Short article text here.</p>", "Short article text here."),
+        ("<article><p>One.</p><div class='share-price-table'>Two</div><p class=notice-of-motion>Three</p><p class='share-box'>no</p></article>", "One.\nTwo\nThree"),
+        ("<article><p title='x>Hello</p></article>", "Hello"),
+        ("<main><h1>Site</h1></main><div><h2>Title</h2><p>" + "Real text. " * 20 + "</p></div>", "Site\nTitle\n" + "Real text. " * 19 + "Real text."),
+        ("<article><b>bold<div>in</b>ner</div></article>", "bold\ninner"),
         ("<div class=header>Top</div><article><header><h1>Title</h1></header><p hidden>no</p><p>yes</p><div role=complementary>no</div><section class='comments-area'><p>no</p></section></article>", "Title\nyes"),
     ],
 )
@@ -748,6 +753,59 @@ def test_main_text_by_sums(page, want):
     assert html_extract.main_text(page) == want
 
 
+def brute_main_text(rows):
+    """By the definition, line by line; rows as of lines()."""
+    held = any(t and art and not head for t, _, art, _, head in rows)
+    rows = [r if r[2] or not held else ("", 0, False, 0, False) for r in rows]
+    # a line of links alone stands for one line a link
+    wide = [(i, r[1], bool(r[0])) for i, r in enumerate(rows) for _ in range(1 if r[1] else max(1, r[3]))]
+    dive = set()
+    for k in range(len(wide) - html_extract.WINDOW + 1):
+        w = wide[k : k + html_extract.WINDOW]
+        if not sum(n for _, n, _ in w) and len({x for _, _, x in w}) == 1:
+            dive |= {i for i, _, _ in w}
+    parts, now = [], []
+    for i, r in enumerate([*rows, None]):
+        if r is None or i in dive:
+            parts, now = parts + [now] * any(x[0] for x in now), []
+        else:
+            now.append(r)
+    score = [max(sum(r[1] for r in p[k : k + html_extract.WINDOW]) for k in range(len(p))) for p in parts]
+    if held:
+        keep = parts or [rows]
+    else:
+        keep = [p for p, n in zip(parts, score, strict=True) if n >= html_extract.SURGE] or [p for p, n in zip(parts, score, strict=True) if n and n == max(score)][:1]
+    return "\n".join(r[0] for p in keep for r in p if r[0])
+
+
+def test_main_text_against_brute_force():
+    r = random.Random(31)
+    pieces = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<main>", "</main>", "<a href=x>", "</a>", "<li>", "<h1>", "</h1>", "<nav>", "</nav>", "<br>", "<b>", "</b>", "<span", "</span>", "word ", "Home", "|", "A longer sentence with more text in it. ", "&amp;", "<p class=ad>", "<a>m</a>", "<p><a>m</a></p>" * 3]
+    for _ in range(4000):
+        page = "".join(r.choice(pieces) for _ in range(r.randrange(1, 40)))
+        assert html_extract.main_text(page) == brute_main_text(html_extract.lines(page)), page
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are absent")
+def test_main_text_of_pages(spark):
+    for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        got = html_extract.main_text(x.html)
+        assert got == brute_main_text(html_extract.lines(x.html)) and got.count("\n") >= 1 and "©" not in got
+
+
+def test_main_text_in_linear_time():
+    import time
+
+    for one in ("<span></b>", "<span>x</b></p>", "<div><p>a", "<p title='", "<a><li>", "</div>"):
+        took = []
+        for n in (4000, 32_000):
+            began = time.process_time()
+            html_extract.main_text("<b><div>" + one * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.5, (one, took)
+    assert html_extract.main_text("<article><p>" + "word " * 400_000).count("word") == 400_000
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>a</article>", "x"), (1, "u", "<article><p>a</article>", "x"), (None, None, None, "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
