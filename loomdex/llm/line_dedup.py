@@ -84,7 +84,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """docs and __spans: the lines to delete, or null."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    out = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
+    # by shuffle at every size: spans grow with the documents
+    out = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
     return out.select(*docs.columns, "__spans")
 
 
