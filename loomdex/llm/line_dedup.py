@@ -71,13 +71,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     near = every.join(prints, "print", "left_semi").select("doc_id", "th", "backward", "a", "b", "key")
     here = F.struct("doc_id", "th", "a.line")
     first = near.groupBy("backward", "key").agg(F.min(here).alias("f"), F.max(here).alias("l")).where("f <> l").select("backward", "key", "f")
+    first = materialise(first, "first-windows")  # so that a hot window's rows are split in the join
     copies = near.join(first, ["backward", "key"]).where(here != F.col("f")).select("doc_id", "th", "a", "b").distinct()
     order = Window.partitionBy("doc_id", "th").orderBy("a.u", "b.u")
     reach = F.max("b.u").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = copies.withColumn("new", (F.coalesce(reach, F.lit(-1)) + 1 < F.col("a.u")).cast("int")).withColumn("span", F.sum("new").over(order))
     spans = spans.groupBy("doc_id", "th", "span").agg(F.struct(F.min("a.line").alias("first"), F.max("b.line").alias("last")).alias("s"))
     out = materialise(spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("s")).alias("spans")), "repeats")
-    discard(every)
+    discard(every, first)
     return out
 
 
