@@ -220,7 +220,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     counts = made.where("n is not null").select("term", "n").union(once).groupBy("term").agg(F.sum("n").alias("df"))
     told = disclosing(near, counts, digests.count())
     held = near.where("term is null").select("row", "entity").distinct().join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    more = made.where("text is not null").select("row", "text").join(held, "row", "left").select("row", "text", "terms").mapInArrow(_mark, "row long, every string, n_spans long, clean_sha256 string")
+    more = made.where("text is not null").select("row", "text").join(held.hint("merge"), "row", "left").select("row", "text", "terms").mapInArrow(_mark, "row long, every string, n_spans long, clean_sha256 string")
     found = base.join(more, "row", "left").select("doc_id", "spans", "every", F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), "clean_sha256")
     return found.mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, clean_sha256 string")
 
