@@ -65,7 +65,7 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None, most: int = 200) ->
     """node, cycle: strongly connected components of the subgraph that nodes induce, named by their smallest node; single nodes only with a self-loop.
 
     Colours spread forward (smallest reachable-from), then backward inside a colour; what a root reaches back is its
-    component and leaves; the rest goes on.
+    component and leaves; the rest goes on. RuntimeError if most rounds don't settle it.
     """
     e = edges.select("source", "target").distinct()
     if nodes is not None:
@@ -74,7 +74,9 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None, most: int = 200) ->
     loops = e.where("source = target").select(F.col("source").alias("node"))
     left = cut(e.where("source <> target"))
     out = None
-    for _ in range(most):
+    for k in range(most + 1):
+        if k == most and not left.isEmpty():
+            raise RuntimeError(f"cycles are not settled after {most} rounds")
         # nodes without an edge in or without one out are in no cycle
         while True:
             kept = cut(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))

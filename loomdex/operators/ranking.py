@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+
 # Boost and length normalisation of each field.
 BOOST = {"name": 8.0, "qualified": 5.0, "path": 5.0, "signature": 4.0, "body": 1.5, "documentation": 2.0, "attribute": 1.0, "callee": 3.0, "caller": 3.0, "import": 2.0}
 B = {"name": 0.0, "qualified": 0.3, "path": 0.3, "signature": 0.75, "body": 0.75, "documentation": 0.75, "attribute": 0.5, "callee": 0.5, "caller": 0.5, "import": 0.5}
@@ -57,10 +59,17 @@ def streams(post: DataFrame, terms: DataFrame) -> DataFrame:
 def candidates(opened: DataFrame, terms: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """query_id, symbol_id, rarest_df, matched_terms, place: the retained union; rows up to one past the bound, whose place tells.
 
-    Fields fold into one row for each term and symbol before questions multiply them, so the union needs no distinct count.
+    Rank goes by the rarest list first, so a question's shortest list beyond the bound ends what can matter: its symbols
+    alone fill the bound, and no symbol of longer lists only comes before them. Questions multiply the lists up to that one;
+    of common terms just the entries of those symbols are counted. opened is best written once (lineage.cut).
     """
-    per = opened.groupBy("term", "symbol_id").agg(F.min("df").alias("df"))
-    union = per.join(terms.select("query_id", "term"), "term").groupBy("query_id", "symbol_id").agg(F.min("df").alias("rarest_df"), F.count("*").alias("matched_terms"))
+    asked = terms.select("query_id", "term").distinct()
+    lists = asked.join(opened.select("field", "term", "df").distinct(), "term")
+    bound = lists.groupBy("query_id").agg(F.min(F.when(F.col("df") > profile.retained, F.col("df"))).alias("bound"))
+    short = lists.join(bound, "query_id").where("bound is null or df <= bound").select("query_id", "field", "term")
+    rare = short.join(opened.select("field", "term", "symbol_id", "df"), ["field", "term"]).groupBy("query_id", "symbol_id").agg(F.min("df").alias("rarest_df"))
+    matched = rare.join(asked, "query_id").join(opened.select("term", "symbol_id").distinct(), ["term", "symbol_id"])
+    union = matched.groupBy("query_id", "symbol_id").agg(F.first("rarest_df").alias("rarest_df"), F.count("*").alias("matched_terms"))
     order = Window.partitionBy("query_id").orderBy("rarest_df", F.desc("matched_terms"), "symbol_id")
     return union.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile.retained + 1)
 
@@ -133,5 +142,5 @@ def evidence(opened: DataFrame, terms: DataFrame, profile: Profile = Profile())
 
 def rank(post: DataFrame, lengths: DataFrame, stats: DataFrame, anchors: DataFrame, terms: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """The shown anchors of each question: query_id, symbol_id, path, name, score, rank, margin_ppm."""
-    opened = streams(post, terms)
+    opened = cut(streams(post, terms))
     return ranked(collapse(scores(opened, terms, candidates(opened, terms, profile), lengths, stats, profile), anchors), profile)

@@ -94,7 +94,7 @@ class Index:
         """What ranking a question touches; None if it has no term of the index."""
         asked = self.symbols.sparkSession.createDataFrame([(1, text)], "query_id long, text string")
         terms = index.known_terms(asked.select("query_id", F.posexplode(lexing.query_terms("text")).alias("pos", "term")), index.vocabulary(self.postings)).select("query_id", "term")
-        opened = ranking.streams(self.postings, terms)
+        opened = cut(ranking.streams(self.postings, terms))
         row = ranking.evidence(opened, terms).join(ranking.cap_cut_a_tie(ranking.candidates(opened, terms)), "query_id", "left").na.fill(False, ["cut"]).first()
         if row is None:
             return None

@@ -54,9 +54,8 @@ def test_merge(spark):
 def test_spans(spark):
     s = spark.createDataFrame([("f", 1, 0, 100), ("f", 2, 10, 50), ("f", 3, 10, 50), ("f", 4, 20, 30), ("g", 5, 0, 5)], "file string, id long, start long, end long")
     p = spark.createDataFrame([("f", 1, 25, 26), ("f", 2, 40, 41), ("f", 3, 60, 61), ("f", 4, 200, 201), ("g", 5, 1, 2)], "file string, point_id long, start long, end long")
-    for width in (None, 7):
-        assert {r.point_id: r.owner for r in spans.nearest_owner(p, s, width=width).collect()} == {1: 4, 2: 2, 3: 1, 4: None, 5: 5}
-        assert {r.id: r.parent for r in spans.parents(s, width=width).collect()} == {1: None, 2: 1, 3: 1, 4: 2, 5: None}
+    assert {r.point_id: r.owner for r in spans.nearest_owner(p, s).collect()} == {1: 4, 2: 2, 3: 1, 4: None, 5: 5}
+    assert {r.id: r.parent for r in spans.parents(s).collect()} == {1: None, 2: 1, 3: 1, 4: 2, 5: None}
     st_ = spark.createDataFrame([("same", "r", "r", 5, 5, False, True, "x", "x", 10, 3), ("gone", "r", "r", 5, 5, False, True, None, None, 10, 3), ("no", "r", "r", 5, 5, True, True, "x", "x", 10, 3)], "k string, representation string, current_representation string, size long, current_size long, refused boolean, is_text boolean, current_oid string, again_oid string, lines long, start_line long")
     st_ = st_.selectExpr("*", "'x' as oid")
     assert {r.k: r.status for r in spans.source_status(st_).collect()} == {"same": "served", "gone": "missing", "no": "refused"}
@@ -112,3 +111,24 @@ def test_incremental_equals_full(spark, old, new):
     got = delta.refreshed(facts(tree(old)), plan, facts(redo))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, facts(tree(new)).collect()))
     assert delta.is_no_op(plan) == (old == new)
+
+
+def test_spans_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice("fg"), k, a, a + r.choice([0, 1, 5, 40, 900])) for k in range(120) for a in [r.randrange(300)]]
+    s = spark.createDataFrame(rows, "file string, id long, start long, end long")
+    smallest = lambda f, a, b, me=None: min(((e - x, k) for g, k, x, e in rows if g == f and x <= a and b <= e and (me is None or (k != me and (x < a or b < e)))), default=(0, None))[1]
+    assert {x.id: x.parent for x in spans.parents(s).collect()} == {k: smallest(f, a, b, k) for f, k, a, b in rows}
+    points = [(r.choice("fg"), k, a, a + r.randrange(3)) for k in range(80) for a in [r.randrange(400)]]
+    got = spans.nearest_owner(spark.createDataFrame(points, "file string, point_id long, start long, end long"), s).collect()
+    assert {x.point_id: x.owner for x in got} == {k: smallest(f, a, b) for f, k, a, b in points}
+    hunks = [(r.choice("fg"), r.randrange(300), r.choice([0, 1, 30])) for _ in range(40)]
+    want = set()
+    for f, a, n in hunks:
+        lo, hi = (a, a + n - 1) if n else (max(a, 1), max(a, 1))
+        met = [x for x in rows if x[0] == f and x[2] <= hi and lo <= x[3]]
+        want |= {(f, k) for _, k, x, e in met if not any(j != k and x <= y and z <= e and (x < y or z < e) for _, j, y, z in met)}
+    h = spark.createDataFrame(hunks, "file string, start long, lines long")
+    assert {(x.file, x.id) for x in spans.touched(s.select("file", "id", s.start.alias("start_line"), s.end.alias("end_line")), h).collect()} == want
