@@ -126,16 +126,15 @@ def test_evidence(frames: dict[str, DataFrame]) -> DataFrame:
     return every.groupBy("path").agg(F.min("confidence").alias("confidence"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def observations(references: DataFrame) -> DataFrame:
-    """path, resolved, unresolved, ambiguous, unfollowed imports: counts of the target side where a path has one, else of the base side."""
-    side = references.groupBy("path", "endpoint").agg(
-        F.count_if(F.col("resolution") == "resolved").alias("resolved"),
-        F.count_if(F.col("resolution") == "unresolved").alias("unresolved"),
-        F.count_if(F.col("resolution") == "ambiguous").alias("ambiguous"),
-        F.count_if((F.col("kind") == "import") & (F.col("resolution") != "resolved")).alias("unfollowed"),
-    )
-    cols = ["resolved", "unresolved", "ambiguous", "unfollowed"]
-    return side.groupBy("path").agg(F.max_by(F.struct(*cols), "endpoint").alias("m")).select("path", *[f"m.{c}" for c in cols])
+def observations(rows: DataFrame) -> DataFrame:
+    """path, resolved, and unresolved and ambiguous calls, references and imports: counts of the target side where a path has
+    one, else of the base side. rows: path, endpoint, kind (of reference, or import), resolution."""
+    kind = edge_kind(F.col("kind"))
+    of = lambda r, k: F.count_if((F.col("resolution") == r) & (kind == k)).alias(f"{r}_{k}s")
+    cols = [of(r, k) for r in ("unresolved", "ambiguous") for k in EDGE_KINDS]
+    side = rows.groupBy("path", "endpoint").agg(F.count_if(F.col("resolution") == "resolved").alias("resolved"), *cols)
+    names = [c for c in side.columns if c not in ("path", "endpoint")]
+    return side.groupBy("path").agg(F.max_by(F.struct(*names), "endpoint").alias("m")).select("path", *[f"m.{c}" for c in names])
 
 
 def sections(rows: DataFrame, section: str, order: list, limit: int) -> DataFrame:

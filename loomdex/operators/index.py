@@ -112,6 +112,16 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
     return out.select("ref_id", label.alias("resolution"), F.when(F.col("candidates") == 1, F.col("target")).alias("target"), "candidates")
 
 
+def resolve_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """imports (file, module, path, kind, is_glob, ...) with resolution, target and candidates: what their path names below their
+    module. Globs, and kinds other than use, are never followed: unresolved."""
+    named = symbols.groupBy(F.col("qualified").alias("__q")).agg(F.countDistinct("symbol_id").alias("candidates"), F.min("symbol_id").alias("target"))
+    q = F.when((F.col("kind") == "use") & ~F.col("is_glob"), absolute(F.col("module"), F.col("path")))
+    out = imports.withColumn("__q", q).join(named, "__q", "left").drop("__q").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    label = F.when(F.col("candidates") == 0, "unresolved").when(F.col("candidates") == 1, "resolved").otherwise("ambiguous")
+    return out.withColumn("resolution", label).withColumn("target", F.when(F.col("candidates") == 1, F.col("target")))
+
+
 def ancestors(symbols: DataFrame, most: int = 32) -> DataFrame:
     """symbol_id, ancestor, depth: a symbol itself at depth 0, then its parents."""
     parents = symbols.where("parent is not null").select(F.col("symbol_id").alias("ancestor"), F.col("parent").alias("up"))
@@ -142,8 +152,10 @@ def derived_terms(references: DataFrame, resolved: DataFrame, imports: DataFrame
     return every.select("symbol_id", "field", F.explode(tokens("text")).alias("term"))
 
 
-def unresolved_count(resolved: DataFrame) -> DataFrame:
-    return resolved.agg(F.count_if(F.col("resolution") != "resolved").alias("unresolved"))
+def unresolved_count(resolved: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """One row: references, and imports with a resolution, that name nothing or several things."""
+    rows = resolved.select("resolution") if imports is None else resolved.select("resolution").union(imports.select("resolution"))
+    return rows.agg(F.count_if(F.col("resolution") != "resolved").alias("unresolved"))
 
 
 def violations(symbols: DataFrame, post: DataFrame, lengths: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def status_report(git: str, snapshot: DataFrame) -> dict:
 _SECTIONS = {
     "changed_files": ["path", "change"], "changed_definitions": ["path", "qualified", "kind"], "direct_edges": ["source", "target", "kind"],
     "affected": ["distance", "node"], "dependencies": ["distance", "node"], "cycles": ["cycle", "node"], "tests": ["confidence", "path"],
+    "resolution": ["path"], "unfollowed_imports": ["path", "line", "specifier"],
 }
 
 

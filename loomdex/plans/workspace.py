@@ -44,15 +44,17 @@ class Index:
 
     @classmethod
     def build(cls, files: DataFrame) -> Index:
-        """From files (path, content), each with facts of its language's extractor."""
-        found = files.withColumn("lang", languages.language("path")).where("lang is not null").where(languages.is_code("lang"))
-        facts = cut(extract.extract(found.select("path", "content", "lang")))
+        """From a tree (path, content): what discovery lets in, each file with facts of its language's extractor."""
+        facts = cut(extract.extract(tree.discover(files).select("path", "content", "lang")))
         return cls.of_facts(facts, files.select("path", tree.blob_oid(F.col("content")).alias("oid")))
 
     @classmethod
     def of_facts(cls, facts: DataFrame, files: DataFrame) -> Index:
         """From extracted facts, kept ones and new ones alike."""
-        s = extract.symbols(facts).withColumn("body_text", F.array_join("body", " ")).withColumn("attribute_text", F.array_join("attributes", " "))
+        s = extract.symbols(facts)
+        for c in ("name", "qualified", "signature", "documentation"):
+            s = s.withColumn(c, lexing.nfc(c))  # as terms are compared composed
+        s = s.withColumn("body_text", F.array_join("body", " ")).withColumn("attribute_text", F.array_join("attributes", " "))
         s = cut(index.dense_ids(s, ["path", "start_byte", "end_byte", "kind", "name", "idx"]))
         ids = s.select("path", "idx", "symbol_id")
         owner = ids.select("path", F.col("idx").alias("owner"), F.col("symbol_id").alias("own"))
@@ -61,7 +63,8 @@ class Index:
         rest = facts.where("fact in ('reference', 'import')").withColumn("module", languages.module_prefix("path", "lang")).join(owner, ["path", "owner"], "left")
         refs = rest.where("fact = 'reference'").select(F.xxhash64("path", "start_byte", "name", "kind").alias("ref_id"), F.col("path").alias("file"), "module", F.col("own").alias("owner"), "name", "qualified", "kind", F.col("start_line").alias("line"))
         imps = rest.where("fact = 'import'").select(F.col("path").alias("file"), "module", F.col("own").alias("owner"), F.col("import_path").alias("path"), F.col("name").alias("leaf"), "alias", "kind", "is_glob", F.col("start_line").alias("line"))
-        symbols, refs, imps = cut(symbols), cut(refs.dropDuplicates(["ref_id"])), cut(imps)
+        symbols, refs = cut(symbols), cut(refs.dropDuplicates(["ref_id"]))
+        imps = cut(index.resolve_imports(imps, symbols))
         resolved = cut(index.resolve(refs, symbols, imps))
         bags = index.term_bags(symbols, TEXT_FIELDS).unionByName(index.derived_terms(refs, resolved, imps, symbols))
         post = cut(index.postings(bags))
@@ -77,7 +80,9 @@ class Index:
         plan = cut(delta.refresh_plan(d.select("path", action.alias("action"), "source")))
         if delta.is_no_op(plan):
             return self, reports.refresh_report("no-op", plan, seen.count(), 0, 0, self.statuses, False)
-        todo = files.join(plan.where("action <> 'remove'").select("path"), "path", "left_semi").withColumn("lang", languages.language("path")).where("lang is not null").where(languages.is_code("lang"))
+        if not plan.where(tree.is_rule_file("path")).isEmpty():  # other files may count from now on
+            return Index.build(files), reports.refresh_report("full", plan, seen.count(), seen.count(), 0, self.statuses, True)
+        todo = tree.discover(files).join(plan.where("action <> 'remove'").select("path"), "path", "left_semi")
         fresh = cut(extract.extract(todo.select("path", "content", "lang")))
         new = Index.of_facts(cut(delta.refreshed(self.facts, plan, fresh)), seen)
         return new, reports.refresh_report("incremental", plan, seen.count(), fresh.where("fact = 'file'").count(), new.statuses.count() - fresh.where("fact = 'file'").count(), new.statuses, True)
@@ -176,7 +181,8 @@ def render_json(answer: dict) -> str:
 def impact(base: DataFrame, target: DataFrame, depth: int = graph.DEPTH, co_changed: DataFrame | None = None) -> dict:
     """What a change from base to target (trees of path, content) reaches.
 
-    changed_files, changed_definitions, direct_edges, affected, dependencies, cycles, tests, resolution are frames; status is
+    changed_files, changed_definitions, direct_edges, affected, dependencies, cycles, tests, resolution (counts of what the
+    changed files name), unfollowed_imports are frames; status is
     partial if a changed file couldn't be read in full. Nodes are path#qualified, path# for a file itself.
     """
     b, t = Index.build(base), Index.build(target)
@@ -199,24 +205,35 @@ def impact(base: DataFrame, target: DataFrame, depth: int = graph.DEPTH, co_chan
     definitions = delta.classify_definitions(delta.pair_definitions(of(b, from_paths), of(t, changed.select("path").distinct()), renamed), touched_b, touched_t, renamed).where("change is not null")
     definitions = cut(definitions)
     node = lambda p, q: F.concat_ws("#", p, F.coalesce(q, F.lit("")))
-    edges = None
+    edges = seen = None
     for side, i in (("base", b), ("target", t)):
-        names = i.symbols.select(F.col("symbol_id").alias("k"), node("path", F.col("qualified")).alias("node"))
-        hit = i.references.join(i.resolved.where("resolution = 'resolved'").select("ref_id", F.col("target").alias("to")), "ref_id")
-        hit = hit.join(names.select(F.col("k").alias("to"), F.col("node").alias("target")), "to").join(names.select(F.col("k").alias("owner"), F.col("node").alias("mine")), "owner", "left")
-        rows = hit.select(F.coalesce("mine", node("file", F.lit(None).cast("string"))).alias("source"), "target", graph.edge_kind(F.col("kind")).alias("kind"), "line", F.lit(side).alias("endpoint"))
+        names = i.symbols.select(F.col("symbol_id").alias("k"), node("path", F.col("qualified")).alias("node"), F.col("qualified").alias("q"))
+        refs = i.references.join(i.resolved.select("ref_id", "resolution", F.col("target").alias("to")), "ref_id").select("file", "owner", "kind", "line", "resolution", "to")
+        imps = i.imports.select("file", "owner", F.lit("import").alias("kind"), "line", "resolution", F.col("target").alias("to"))
+        said = refs.unionByName(imps)
+        hit = said.join(names.select(F.col("k").alias("to"), F.col("node").alias("target")), "to").join(names.select(F.col("k").alias("owner"), F.col("q").alias("mine")), "owner", "left")
+        rows = graph.edges_of(hit.select(F.col("file").alias("path"), F.col("mine").alias("owner"), "target", "kind", "line"), side)
         edges = rows if edges is None else edges.unionByName(rows)
+        there = changed.where("change = 'deleted'" if side == "base" else "change <> 'deleted'").select(F.col("path").alias("file"))
+        mine = said.join(there, "file", "left_semi").select(F.col("file").alias("path"), F.lit(side).alias("endpoint"), "kind", "resolution")
+        seen = mine if seen is None else seen.unionByName(mine)
+    loose = t.imports.where("resolution = 'unresolved'").join(changed.select(F.col("path").alias("file")), "file", "left_semi")
     merged = cut(graph.merge_edges(edges))
     seeds = definitions.select(node("path", F.col("qualified")).alias("node")).distinct()
     affected = cut(graph.closure(merged, seeds, depth))
-    tests = t.symbols.where("is_test").select(node("path", F.col("qualified")).alias("node"), "path").distinct()
-    near = affected.join(tests, "node").select("path", "distance")
-    evidence = {"affected-test": near.select("path"), "resolved-reference": near.where("distance <= 1").select("path")}
+    dependencies = cut(graph.closure(merged, seeds, depth, reverse=False))
+    # evidence is by file: nodes of test files, whether their symbol is a test or not
+    lang = languages.language("path")
+    near = affected.union(dependencies).withColumn("path", F.substring_index("node", "#", 1)).where(languages.is_test("path", lang))
+    terms = definitions.select(F.explode(lexing.tokens(F.element_at(F.split(F.regexp_replace("qualified", "::", "."), r"\."), -1))).alias("term")).distinct()
+    alike = t.postings.where("field = 'name'").join(terms, "term", "left_semi").join(t.symbols.select("symbol_id", "path", "lang"), "symbol_id").where(languages.is_test("path", "lang"))
+    evidence = {"affected-test": near.where("distance > 1").select("path"), "resolved-reference": near.where("distance <= 1").select("path"), "lexical-name": alike.select("path")}
     if co_changed is not None:
         evidence["co-change"] = co_changed.join(t.symbols.where("is_test").select("path").distinct(), "path", "left_semi").select("path")
     unread = t.statuses.where("status in ('degraded', 'recovered')").join(changed.select("path"), "path", "left_semi")
     return {
         "schema_version": 1, "status": "complete" if unread.isEmpty() else "partial", "depth": depth, "changed_files": changed, "changed_definitions": definitions,
-        "direct_edges": graph.incident(merged, seeds), "affected": affected, "dependencies": graph.closure(merged, seeds, depth, reverse=False),
+        "direct_edges": graph.incident(merged, seeds), "affected": affected, "dependencies": dependencies,
         "cycles": graph.cycles(merged, affected.select("node").union(seeds)), "tests": graph.test_evidence(evidence),
+        "resolution": graph.observations(seen), "unfollowed_imports": loose.select(F.col("file").alias("path"), F.col("path").alias("specifier"), F.col("leaf").alias("name"), "line"),
     }

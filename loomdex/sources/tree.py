@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import languages
 
-# Directories that are never read.
+# Directories that are never read; files that rule what is tracked or read.
 EXCLUDED = [".git", "node_modules", "target", "dist", "build", ".venv", "vendor"]
 RULE_FILES = [".gitignore", ".ignore", ".gitattributes", ".gitmodules"]
 
@@ -41,6 +43,38 @@ def ignored(path: Column | str, globs: list[str]) -> Column:
     return out
 
 
+@F.pandas_udf(StringType())
+def _regex(globs: pd.Series) -> pd.Series:
+    """Of ignore globs; null for malformed ones, which rule nothing."""
+
+    def one(glob):
+        try:
+            return glob_regex(glob)
+        except (ValueError, re.error):
+            return None
+
+    return globs.map(one)
+
+
+def ignore_rules(tree: DataFrame) -> DataFrame:
+    """dir, place, regex, keep: the rules that the ignore files of a tree (path, content) hold, .ignore after .gitignore, for
+    paths below their directory. Blank lines and comments are none."""
+    files = tree.where(languages.file_name("path").isin(".gitignore", ".ignore"))
+    lines = files.select(F.regexp_replace("path", "[^/]*$", "").alias("dir"), languages.file_name("path").alias("name"), F.posexplode(F.split(F.decode("content", "utf-8"), r"\r?\n", -1)).alias("n", "line"))
+    lines = lines.withColumn("line", F.rtrim("line")).where("line <> '' and not startswith(line, '#')")
+    rules = lines.select("dir", F.struct(F.length("dir").alias("deep"), (F.col("name") == ".ignore").alias("later"), "n").alias("place"), _regex(F.regexp_replace("line", "^!", "")).alias("regex"), F.col("line").startswith("!").alias("keep"))
+    return rules.where("regex is not null")
+
+
+def ignored_paths(tree: DataFrame) -> DataFrame:
+    """path of the files that ignore files of their own tree rule out: the last rule that matches, in the deepest directory, decides."""
+    parts = F.split("path", "/", -1)
+    up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    at = tree.select("path", F.explode(F.transform(up, lambda x: F.when(x == "", x).otherwise(F.concat(x, F.lit("/"))))).alias("dir"))
+    hit = at.join(ignore_rules(tree), "dir").where(F.expr("rlike(substr(path, length(dir) + 1), regex)"))
+    return hit.groupBy("path").agg(F.max_by("keep", "place").alias("keep")).where("not keep").select("path")
+
+
 def excluded(path: Column | str, names: list[str] = EXCLUDED) -> Column:
     path = F.col(path) if isinstance(path, str) else path
     parts = F.split(path, "/", -1)
@@ -60,8 +94,15 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discover(tree: DataFrame, langs: list[str] | None = None, globs: list[str] = (), names: list[str] = EXCLUDED, reserved: list[str] = (), most: int | None = None) -> DataFrame:
-    """path, lang, generated, is_test, content of the files that count as sources, by path; most: the first so many."""
-    t = tree.withColumn("lang", languages.language("path")).where("lang is not null").where(~excluded("path", names) & ~ignored("path", list(globs)) & languages.is_code("lang"))
+    """path, lang, generated, is_test, content of the files that count as sources, by path; most: the first so many.
+
+    Ignore files of the tree count, then globs, whose ! ones let in what the tree ignores.
+    """
+    ruled = ignored_paths(tree)
+    if globs:
+        let_in = [g for g in globs if g.startswith("!")]
+        ruled = ruled.where(~ignored("path", [g[1:] for g in let_in])) if let_in else ruled
+    t = tree.join(ruled, "path", "left_anti").withColumn("lang", languages.language("path")).where("lang is not null").where(~excluded("path", names) & ~ignored("path", list(globs)) & languages.is_code("lang"))
     if reserved:
         t = t.where(~languages.file_name("path").isin(*reserved))
     if langs:

@@ -48,15 +48,31 @@ def test_impact(spark):
     r = w.impact(frame(spark, FILES), frame(spark, new))
     assert {(x.path, x.change) for x in r["changed_files"].collect()} == {("src/auth.rs", "modified"), ("src/fresh.rs", "added")}
     assert {(x.qualified, x.change) for x in r["changed_definitions"].collect()} == {("auth::check", "modified"), ("fresh::fresh", "added")}
-    assert {(x.node, x.distance) for x in r["affected"].collect()} == {("src/auth.rs#auth::verify_token", 1), ("src/store.rs#store::Store::open", 2), ("tests/flow.rs#tests::flow::opens", 2)}
+    assert {(x.node, x.distance) for x in r["affected"].collect()} == {("src/auth.rs#auth::verify_token", 1), ("src/store.rs#store::Store::open", 2), ("tests/flow.rs#tests::flow::opens", 2), ("src/store.rs#", 2)}
+    assert ("src/store.rs#", "src/auth.rs#auth::verify_token", "import") in {(x.source, x.target, x.kind) for x in w.impact(frame(spark, FILES), frame(spark, {**new, "src/auth.rs": FILES["src/auth.rs"].replace("check(raw) }", "!check(raw) }")}))["direct_edges"].collect()}
+    assert {(x.path, x.resolved, x.unresolved_calls, x.unresolved_imports) for x in r["resolution"].collect()} == {("src/auth.rs", 1, 0, 0)}
     assert [(x.path, x.confidence, x.reasons) for x in r["tests"].collect()] == [("tests/flow.rs", "exact", ["affected-test"])]
     assert r["cycles"].count() == 0 and r["status"] == "complete"
     report = reports.impact_report(r, 1)
-    assert report["affected"]["shown"] == 1 and report["affected"]["total"] == 3 and report["tests"]["rows"][0]["path"] == "tests/flow.rs"
+    assert report["affected"]["shown"] == 1 and report["affected"]["total"] == 4 and report["tests"]["rows"][0]["path"] == "tests/flow.rs"
     assert '"status": "complete"' in reports.render(report)
     assert w.impact(frame(spark, FILES), frame(spark, FILES), 1)["affected"].count() == 0
 
 
+def test_discovery_rules_the_index(spark):
+    files = {"a.py": "def one(): pass\n", "node_modules/z.js": "function two() {}\n", ".gitignore": "c.py\nout/\n", "c.py": "def three(): pass\n", "out/d.py": "def four(): pass\n", "sub/.gitignore": "*.py\n!keep.py\n", "sub/e.py": "def five(): pass\n", "sub/keep.py": "def six(): pass\n"}
+    i = w.Index.build(frame(spark, files))
+    assert {x.name for x in i.symbols.select("name").collect()} == {"one", "six"}
+    later, report = i.refresh(frame(spark, {**files, ".gitignore": "out/\n"}))
+    assert report["mode"] == "full" and {x.name for x in later.symbols.select("name").collect()} == {"one", "three", "six"}
+
+
+def test_lexical_evidence(spark):
+    old = {"src/a.py": "def load_widget():\n    return 1\n", "tests/test_b.py": "def test_widget_shape():\n    pass\n"}
+    r = w.impact(frame(spark, old), frame(spark, {**old, "src/a.py": "def load_widget():\n    return 2\n"}))
+    assert [(x.path, x.confidence, x.reasons) for x in r["tests"].collect()] == [("tests/test_b.py", "probable", ["lexical-name"])]
+
+
 def test_source_and_explain(spark, built):
     a = built.ask("verify_token")
     s = built.source(a, frame(spark, FILES))
