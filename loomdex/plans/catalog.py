@@ -311,6 +311,127 @@ def window_lines(spark, d):
     return spans.window_lines(lines, docs.select(F.col("doc_id").alias("key"), F.lit(5).alias("start_line"), F.lit(7).alias("end_line")), most_lines=6, most_bytes=2000)
 
 
+# discovery
+
+_TREE = """tree AS (SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'src/m' || p_size || '/mod' || p_partkey || '.rs' WHEN 1 THEN 'node_modules/x/' || p_partkey || '.js' WHEN 2 THEN 'src/' || p_partkey || '_test.go'
+    WHEN 3 THEN 'docs/' || p_partkey || '.md' WHEN 4 THEN 'gen/out/' || p_partkey || '.py' WHEN 5 THEN 'lib/skip' || p_size || '.PY' || repeat('i', p_partkey % 2) WHEN 6 THEN 'src/generated/a' || p_partkey || '.ts' ELSE 'tests/t' || p_partkey || '.c' END AS path FROM part)"""
+
+
+def _tree(spark, d) -> DataFrame:
+    """A file per part, and two ignore files."""
+    key, size = (F.col(c).cast("string") for c in ("p_partkey", "p_size"))
+    kinds = [("src/m", size, "/mod", key, ".rs"), ("node_modules/x/", key, ".js"), ("src/", key, "_test.go"), ("docs/", key, ".md"), ("gen/out/", key, ".py"), ("lib/skip", size, ".PY", F.repeat(F.lit("i"), (F.col("p_partkey") % 2).cast("int"))), ("src/generated/a", key, ".ts"), ("tests/t", key, ".c")]
+    path = F.element_at(F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in k)) for k in kinds)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    files = _t(spark, d, "part").select(path.alias("path"), F.encode("p_name", "utf-8").alias("content"))
+    rules = [(".gitignore", b"# output\n/gen/out/\nskip1*\n"), ("src/.ignore", b"m[34]*/\n!m41/\n\n")]
+    return files.unionByName(spark.createDataFrame(rules, "path string, content binary"))
+
+
+@query(rf"""WITH {_TREE}, c AS (SELECT path, count(*) AS files FROM tree WHERE k % 8 NOT IN (1, 3, 4) AND NOT regexp_matches(path, '^lib/skip1') AND NOT (regexp_matches(path, '^src/m[34][^/]*/') AND path NOT LIKE 'src/m41/%') GROUP BY ALL)
+  SELECT path, CASE regexp_extract(lower(path), '\.([a-z]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'c' THEN 'c' END AS lang,
+    path LIKE 'src/generated/%' AS generated, path LIKE '%\_test.go' ESCAPE '\' OR path LIKE 'tests/%' AS is_test, files FROM c WHERE NOT (path LIKE 'lib/%' AND NOT regexp_matches(path, '(?i)\.pyi?$'))""")
+def tree_discovery(spark, d):
+    """Source files of a tree under its excluded directories, languages and ignore files, with their marks."""
+    return tree.discover(_tree(spark, d)).groupBy("path", "lang", "generated", "is_test").agg(F.count("*").alias("files"))
+
+
+# name resolution
+
+_NAMES = """sym AS (SELECT p_partkey AS id, 'f' || p_partkey % 40 AS file, p_brand AS module, CASE WHEN p_partkey % 5 <> 0 AND p_partkey > 5 THEN p_partkey - p_partkey % 5 END AS parent, 'n' || p_size AS name, p_brand || '::n' || p_size AS qualified FROM part),
+  ref AS (SELECT o_orderkey AS ref_id, o_orderstatus AS st, s.file, s.module, s.id AS owner, 'n' || o_orderkey % 50 AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'crate::Brand#' || (11 + o_orderkey % 15) || '::n' || o_orderkey % 50 END AS qualified,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'method' WHEN o_orderkey % 7 < 4 THEN 'call' ELSE 'type' END AS kind FROM orders JOIN sym s ON s.id = 1 + o_custkey % (SELECT count(*) FROM part)),
+  imp AS (SELECT c_custkey AS id, 'f' || c_custkey % 40 AS file, 'crate::Brand#' || (11 + c_custkey % 25) || '::n' || c_custkey % 50 AS path, 'n' || c_custkey % 50 AS leaf, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey % 17 END AS alias, CASE WHEN c_custkey % 6 = 0 THEN 'include' ELSE 'use' END AS kind, c_custkey % 10 = 0 AS is_glob FROM customer)"""
+
+
+def _names(spark, d):
+    """Symbols, references and imports from parts, orders and customers."""
+    text = lambda c: c.cast("string")
+    key, p = F.col("p_partkey"), _t(spark, d, "part")
+    name = F.concat(F.lit("n"), text(F.col("p_size")))
+    sym = p.select(key.alias("symbol_id"), F.concat(F.lit("f"), text(key % 40)).alias("file"), F.array("p_brand").alias("module"), F.when((key % 5 != 0) & (key > 5), key - key % 5).alias("parent"), name.alias("name"), F.concat_ws("::", "p_brand", name).alias("qualified"))
+    o, k = F.col("o_orderkey"), F.col("c_custkey")
+    said = F.concat(F.lit("n"), text(o % 50))
+    brand = lambda c, n: F.concat(F.lit("crate::Brand#"), text(11 + c % n), F.lit("::n"), text(c % 50))
+    refs = _t(spark, d, "orders").join(sym.select(F.col("symbol_id").alias("owner"), "file", "module"), F.col("owner") == 1 + F.col("o_custkey") % p.count())
+    refs = refs.select(o.alias("ref_id"), "o_orderstatus", "file", "module", "owner", said.alias("name"), F.when(o % 4 == 0, brand(o, 15)).alias("qualified"), F.when(o % 7 == 0, "method").when(o % 7 < 4, "call").otherwise("type").alias("kind"))
+    imps = _t(spark, d, "customer").select(k.alias("import_id"), F.concat(F.lit("f"), text(k % 40)).alias("file"), F.array(F.lit("top")).alias("module"), brand(k, 25).alias("path"), F.concat(F.lit("n"), text(k % 50)).alias("leaf"), F.when(k % 3 == 0, F.concat(F.lit("n"), text(k % 17))).alias("alias"), F.when(k % 6 == 0, "include").otherwise("use").alias("kind"), (k % 10 == 0).alias("is_glob"))
+    return sym, refs, imps
+
+
+_RESOLVED = f"""{_NAMES},
+  up AS (SELECT id, id AS anc, 0 AS depth FROM sym UNION ALL SELECT id, parent, 1 FROM sym WHERE parent IS NOT NULL),
+  use AS (SELECT DISTINCT file, unnest([leaf, alias]) AS name, path FROM imp WHERE kind = 'use' AND NOT is_glob),
+  hit AS (SELECT r.ref_id, 1 AS stage, s.id FROM ref r JOIN sym s ON 'crate::' || s.qualified = r.qualified WHERE r.kind <> 'method'
+    UNION ALL SELECT r.ref_id, 2, s.id FROM ref r JOIN use u ON u.file = r.file AND u.name = r.name JOIN sym s ON 'crate::' || s.qualified = u.path WHERE r.kind <> 'method' AND r.qualified IS NULL
+    UNION ALL SELECT r.ref_id, 3 + depth, s.id FROM ref r JOIN up ON up.id = r.owner JOIN sym s ON s.parent = up.anc AND s.name = r.name WHERE r.kind <> 'method' AND r.qualified IS NULL
+    UNION ALL SELECT r.ref_id, 5, s.id FROM ref r JOIN sym s ON s.parent IS NULL AND s.module = r.module AND s.name = r.name WHERE r.kind <> 'method' AND r.qualified IS NULL),
+  best AS (SELECT ref_id, count(DISTINCT id) AS candidates, min(id) AS target FROM (SELECT *, min(stage) OVER (PARTITION BY ref_id) AS first FROM hit) WHERE stage = first GROUP BY ALL),
+  res AS (SELECT r.*, coalesce(candidates, 0) AS candidates, CASE WHEN candidates = 1 THEN target END AS target, CASE WHEN candidates IS NULL THEN 'unresolved' WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM ref r LEFT JOIN best USING (ref_id)),
+  found AS (SELECT i.id, count(DISTINCT s.id) AS candidates, min(s.id) AS target FROM imp i JOIN sym s ON 'crate::' || s.qualified = i.path WHERE i.kind = 'use' AND NOT i.is_glob GROUP BY ALL),
+  ires AS (SELECT i.*, coalesce(candidates, 0) AS candidates, CASE WHEN candidates = 1 THEN target END AS target, CASE WHEN candidates IS NULL THEN 'unresolved' WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM imp i LEFT JOIN found USING (id))"""
+
+
+@query(f"WITH {_RESOLVED} SELECT ref_id, resolution, target, candidates FROM res")
+def name_resolution(spark, d):
+    """What each written name means: by qualified path, import, enclosing scope or module."""
+    sym, refs, imps = _names(spark, d)
+    return index.resolve(refs, sym, imps).withColumn("candidates", F.col("candidates").cast("long"))
+
+
+@query(f"WITH {_RESOLVED} SELECT id AS import_id, resolution, target, candidates FROM ires")
+def import_resolution(spark, d):
+    """What each import names."""
+    sym, _, imps = _names(spark, d)
+    return index.resolve_imports(imps, sym).select("import_id", "resolution", "target", F.col("candidates").cast("long").alias("candidates"))
+
+
+@query(f"WITH {_RESOLVED} SELECT DISTINCT file || '#' AS source, s.file || '#' || s.qualified AS target, 'import' AS kind, 1 + i.id % 9 AS line, 'target' AS endpoint FROM ires i JOIN (SELECT id AS k, file, qualified FROM sym) s ON s.k = i.target".replace("file || '#' AS source", "i.file || '#' AS source"))
+def import_edges(spark, d):
+    """Edges from files to what their imports name."""
+    sym, _, imps = _names(spark, d)
+    of = sym.select(F.col("symbol_id").alias("target"), F.concat_ws("#", "file", "qualified").alias("node"))
+    rows = index.resolve_imports(imps, sym).join(of, "target").select(F.col("file").alias("path"), F.lit(None).cast("string").alias("owner"), F.col("node").alias("target"), F.lit("import").alias("kind"), (1 + F.col("import_id") % 9).cast("long").alias("line"))
+    return graph.edges_of(rows, "target")
+
+
+@query(f"""WITH {_RESOLVED}, said AS (SELECT file AS path, CASE WHEN st = 'F' THEN 'base' ELSE 'target' END AS endpoint, CASE WHEN kind = 'call' THEN 'call' ELSE 'reference' END AS kind, resolution FROM res UNION ALL SELECT file, 'target', 'import', resolution FROM ires),
+  side AS (SELECT path, endpoint, {", ".join(f"count(*) FILTER (resolution = '{r}' AND kind = '{k}') AS {r}_{k}s" for r in ("unresolved", "ambiguous") for k in graph.EDGE_KINDS)}, count(*) FILTER (resolution = 'resolved') AS resolved FROM said GROUP BY ALL)
+  SELECT * EXCLUDE (endpoint) FROM side s WHERE endpoint = (SELECT max(endpoint) FROM side x WHERE x.path = s.path)""")
+def resolution_counts(spark, d):
+    """Counts of what the names and imports of each file come to."""
+    sym, refs, imps = _names(spark, d)
+    r = index.resolve(refs, sym, imps).join(refs.select("ref_id", "o_orderstatus", "file", "kind"), "ref_id")
+    r = r.select(F.col("file").alias("path"), F.when(F.col("o_orderstatus") == "F", "base").otherwise("target").alias("endpoint"), "kind", "resolution")
+    i = index.resolve_imports(imps, sym).select(F.col("file").alias("path"), F.lit("target").alias("endpoint"), F.lit("import").alias("kind"), "resolution")
+    return graph.observations(r.union(i))
+
+
+@query(f"WITH {_NAMES}, s AS (SELECT *, row_number() OVER (ORDER BY file, name, id) - 1 AS n FROM sym) SELECT id, n FROM s")
+def symbol_ids(spark, d):
+    """Numbers of symbols in the order of file, name and key."""
+    return index.dense_ids(_names(spark, d)[0].select("file", "name", F.col("symbol_id").alias("id")), ["file", "name", "id"], "n").select("id", "n")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x00-\x1F\x7F-\x9F]+', ' ', 'g')) AS signature FROM documents")
+def display_signatures(spark, d):
+    """Texts of documents on one line."""
+    return _t(spark, d, "documents").select("doc_id", lexing.display_signature("text").alias("signature"))
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_orderkey * 37 // 1000000 AS VARCHAR) || '.' || lpad(CAST(o_orderkey * 37 % 1000000 AS VARCHAR), 6, '0') AS ratio, (o_custkey * 2000000 + o_orderkey) // (o_orderkey * 2) AS ppm,
+  o_custkey * 10 >= o_orderkey AS enough, o_custkey * 10 > o_orderkey AS over FROM orders WHERE o_orderkey > 0""")
+def exact_ratios(spark, d):
+    """Ratios as printed, in millionths, and against a bound, by integers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return _t(spark, d, "orders").where(k > 0).select(k.alias("id"), lexing.six_decimals(k * 37).alias("ratio"), lexing.ratio_ppm(c, k).alias("ppm"), lexing.at_least(c, k, 1, 10).alias("enough"), lexing.exceeds(c, k, 1, 10).alias("over"))
+
+
+@query("""SELECT o_orderkey AS id, sha256(strlen(o_orderstatus) || ':' || o_orderstatus || strlen(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey) AS hash, substr(sha1(CAST(o_orderkey AS VARCHAR)), 1, 2) AS shard FROM orders""")
+def structural_hashes(spark, d):
+    """Length-prefixed hashes of order rows, and the shard of an identity."""
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), lexing.structural_hash(F.col("o_orderstatus"), F.col("o_custkey")).alias("hash"), tree.oid_shard(F.sha1(F.col("o_orderkey").cast("string").cast("binary"))).alias("shard"))
+
+
 # graph
 
 _EDGE = "e0 AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_shipdate FROM lineitem), e AS (SELECT l_partkey AS source, lead(l_partkey) OVER w AS target, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'N' THEN 'reference' ELSE 'import' END AS kind, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_shipdate < TIMESTAMP '1995-06-17' THEN 'base' ELSE 'target' END AS endpoint FROM e0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_shipdate))"
