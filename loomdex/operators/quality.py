@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lexing import at_least, exceeds, ratio_ppm
 
-# Bounds of the performance and recall gates.
+# Bounds of the performance and recall gates, answerable cases of the oracle, cases that top-1 may lose.
 POINT, INTERVAL, TOP3_OF_40 = (11, 10), (21, 20), (36, 40)
+ORACLE, TOP1_SLACK = 40, 1
 
 
 def hit_at(rank: int) -> Column:
@@ -37,18 +38,25 @@ def routing_metrics(verdicts: DataFrame) -> DataFrame:
     return c.select("*", ppm("top1", "answerable", "top1_ppm"), ppm("top3", "answerable", "top3_ppm"), ratio_ppm(F.col("directs") - F.col("false_directs"), F.col("directs")).alias("direct_precision_ppm"), ppm("abstained", "cases", "abstention_ppm"), ppm("kept_back", "must_abstain", "required_abstention_ppm"))
 
 
-def release_gate(metrics: DataFrame) -> DataFrame:
-    """failure: a row for each thing that stops a release; missing evidence does too."""
+def release_gate(metrics: DataFrame, safety: DataFrame, performance: DataFrame, top1_baseline: int | None = None, oracle: int = ORACLE) -> DataFrame:
+    """failure: a row for each kind of thing that stops a release; evidence that wasn't measured does too.
+
+    metrics: the row of routing_metrics(). safety: passed, a row a case. performance: blocked, a row a case (performance_gate()).
+    """
     fails = {
-        "no-cases": F.col("cases") == 0,
-        "no-answerable-cases": F.col("answerable") == 0,
-        "no-must-abstain-cases": F.col("must_abstain") == 0,
-        "top3-below-floor": ~at_least(F.col("top3"), F.col("answerable"), *TOP3_OF_40),
-        "false-directs": F.col("false_directs") > 0,
-        "required-abstention-missed": F.col("kept_back") < F.col("must_abstain"),
+        "oracle-under-sized": F.col("answerable") != oracle,
+        "top3-below-gate": ~at_least(F.col("top3"), F.col("answerable"), *TOP3_OF_40),
+        "false-direct": F.col("false_directs") > 0,
+        "direct-precision-below-one": F.col("directs") - F.col("false_directs") != F.col("directs"),
+        "required-abstention-below-one": F.col("kept_back") != F.col("must_abstain"),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fails.items()]))
-    return metrics.select(F.explode(found).alias("failure"))
+    if top1_baseline is not None:
+        fails["top1-regressed-beyond-slack"] = F.col("top1") + TOP1_SLACK < top1_baseline
+    out = metrics.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fails.items()]))).alias("failure"))
+    missing = lambda df: df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("evidence-missing").alias("failure"))
+    failed = lambda df, bad, name: df.agg(F.count_if(F.coalesce(bad, F.lit(True))).alias("n")).where("n > 0").select(F.lit(name).alias("failure"))
+    out = out.union(failed(safety, ~F.col("passed"), "safety-case-failed")).union(failed(performance, F.col("blocked"), "performance-regression"))
+    return out.union(missing(metrics)).union(missing(safety)).union(missing(performance)).distinct()
 
 
 def performance_gate(cases: DataFrame) -> DataFrame:

@@ -134,11 +134,62 @@ def pages(rows: DataFrame, budget: int, overhead: int = 256) -> DataFrame:
     return rows.groupBy("scope").applyInPandas(one, "scope string, section string, kept long, total long, over boolean")
 
 
+# Lines around the managed block of an ignore file.
+BLOCK = ("# begin loomdex", "# end loomdex")
+
+
+def conflict_reason(text: Column | str, is_symlink: Column) -> Column:
+    """Why a page must be left alone or is no longer what was written: null if it is one of ours, intact. Null text: unreadable.
+
+    Reasons are symlink, unreadable, merge-conflict, not-owned, frontmatter, unsupported-format, purpose (over SEED_BYTES) and
+    generated-edited, the first that holds. Pages of render_map() have no markers or anchors that could break.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    parts = F.split(text, r"\n---\n", 2)
+    head, body = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    digest = F.regexp_extract(head, r"\ndigest: ([0-9a-f]{64})(?:\n|$)", 1)
+    purpose = F.get(F.split(body, "\n", -1), F.lit(2))
+    return (
+        F.when(is_symlink, "symlink").when(text.isNull(), "unreadable").when(text.rlike(r"(?m)^(?:<{7}|>{7}) "), "merge-conflict")
+        .when(~text.startswith("---\nformat: "), "not-owned").when((F.size(parts) < 2) | (digest == ""), "frontmatter")
+        .when(F.regexp_extract(head, r"^---\nformat: ([^\n]*)", 1) != "2", "unsupported-format")
+        .when(F.octet_length(purpose) > SEED_BYTES, "purpose").when(F.sha2(body, 256) != digest, "generated-edited")
+    )
+
+
+def ignore_reason(text: Column | str) -> Column:
+    """managed-ignore if the lines around the managed block are repeated, unpaired or in the wrong order; else null."""
+    lines = F.split(F.col(text) if isinstance(text, str) else text, "\n", -1)
+    count = lambda x: F.size(F.filter(lines, lambda y: y == x))
+    first, last = (F.array_position(lines, x) for x in BLOCK)
+    return F.when((count(BLOCK[0]) != count(BLOCK[1])) | (count(BLOCK[0]) > 1) | (first > last), "managed-ignore")
+
+
 def compare_generation(planned: DataFrame, present: DataFrame) -> DataFrame:
-    """path, state (fresh, stale, missing, removable, conflict) of planned and present artifacts (path, digest; owned in present)."""
-    both = planned.select("path", F.col("digest").alias("want")).join(present.select("path", F.col("digest").alias("have"), "owned"), "path", "full")
-    s = F.when(F.col("have").isNull(), "missing").when(~F.col("owned"), "conflict").when(F.col("want").isNull(), "removable").when(F.col("want") == F.col("have"), "fresh").otherwise("stale")
-    return both.select("path", s.alias("state"))
+    """path, state (fresh, stale, missing, removable, conflict), reason of planned and present artifacts (path, digest; owned in present).
+
+    present may have a reason (conflict_reason); one that isn't null is a conflict, as is a page that isn't owned, and a planned
+    path that another present one equals but for case.
+    """
+    p = present.withColumn("reason", F.col("reason") if "reason" in present.columns else F.lit(None).cast("string"))
+    p = p.select("path", F.col("digest").alias("have"), "owned", F.coalesce("reason", F.when(~F.col("owned"), "not-owned")).alias("reason"))
+    both = planned.select("path", F.col("digest").alias("want")).join(p, "path", "full")
+    alike = p.select(F.lower("path").alias("__l"), F.col("path").alias("__other")).distinct()
+    clash = planned.select("path", F.lower("path").alias("__l")).join(alike, "__l").where("path <> __other").select("path").distinct().withColumn("__clash", F.lit("case-collision"))
+    both = both.join(clash, "path", "left").withColumn("reason", F.coalesce("reason", "__clash"))
+    s = F.when(F.col("reason").isNotNull(), "conflict").when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "removable").when(F.col("want") == F.col("have"), "fresh").otherwise("stale")
+    return both.select("path", s.alias("state"), "reason")
+
+
+def index_hash(budget: int, fidelity: str, sections: dict[str, DataFrame]) -> str:
+    """One hash over the rows of an index's sections (directories, records with their lines, tests, symbols): moved code changes it,
+    purposes, which are left out of the sections, don't. Sections go by name, their rows in any order."""
+    parts = [str(budget), fidelity]
+    for name in sorted(sections):
+        df = sections[name]
+        row = df.select(F.xxhash64(*sorted(df.columns)).alias("x")).agg(F.count("*").alias("n"), F.bit_xor("x").alias("b"), F.sum(F.col("x").cast("decimal(38,0)")).alias("s")).first()
+        parts.append(f"{name}|{row.n}|{row.b}|{row.s}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
 def render_map(scope: str, purpose: str, api: list[dict], tests: list[dict], subdirs: list[str], omitted: dict[str, int] | None = None) -> str:

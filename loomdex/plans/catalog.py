@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoding, languages, lexing
 from ..operators import checks, cochange, delta, exact, graph, index, quality, ranking, routes, scopes, spans
-from ..sources import tree
+from ..sources import store, tree
 from ..sources.lineage import cut
 
 QUERIES: dict = {}
@@ -653,9 +653,8 @@ def route_lookup(spark, d):
 # checks and quality
 
 
-@query("""WITH x AS (SELECT 3 AS sev, count(*) AS n FROM orders WHERE o_totalprice < 0 UNION ALL SELECT 2, count(*) FROM part WHERE p_size < 5 UNION ALL SELECT 1, count(*) FROM customer WHERE c_acctbal < 0),
-  c AS (SELECT CAST(sum(n) FILTER (sev = 3) AS BIGINT) AS errors, CAST(sum(n) FILTER (sev = 2) AS BIGINT) AS warnings, CAST(sum(n) FILTER (sev = 1) AS BIGINT) AS infos FROM x)
-  SELECT errors, warnings, infos, CASE WHEN errors > 0 THEN 'errors' WHEN warnings > 0 THEN 'warnings' ELSE 'ok' END AS status, CASE WHEN errors > 0 THEN 3 WHEN warnings > 0 THEN 1 ELSE 0 END AS exit_code FROM c""")
+@query("""WITH c AS (SELECT 0::BIGINT AS fatal, (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS errors, (SELECT count(*) FROM part WHERE p_size < 5) + (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS warnings)
+  SELECT *, CASE WHEN errors > 0 THEN 'errors' WHEN warnings > 0 THEN 'warnings' ELSE 'ok' END AS status, CASE WHEN errors > 0 THEN 3 WHEN warnings > 0 THEN 1 ELSE 0 END AS exit_code FROM c""")
 def check_status(spark, d):
     """Diagnostics of three rules as counts and an exit code."""
     bad = checks.emit(_t(spark, d, "orders").where("o_totalprice < 0").select(F.col("o_orderkey").alias("actual")), "0102_MAP_INVALID", "negative price")
@@ -664,6 +663,48 @@ def check_status(spark, d):
     return checks.counts(checks.union(bad, small, debt))
 
 
+_OUTCOMES = ["ready", "missing", *checks.CORRUPT, *checks.INCOMPATIBLE]
+
+
+@query(f"""WITH o AS (SELECT c_custkey, ([{", ".join(f"'{x}'" for x in _OUTCOMES)}])[c_custkey % {len(_OUTCOMES)} + 1] AS outcome, c_acctbal < 0 AS stale FROM customer)
+  SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN outcome = 'ready' THEN '0004_SNAPSHOT_STALE' WHEN outcome = 'missing' THEN '0001_SNAPSHOT_MISSING' WHEN c_custkey % {len(_OUTCOMES)} < {2 + len(checks.CORRUPT)} THEN '0002_SNAPSHOT_CORRUPT' ELSE '0003_SNAPSHOT_INCOMPATIBLE' END AS rule_id,
+  CASE WHEN outcome = 'ready' THEN 'stale' ELSE outcome END AS actual, CASE outcome WHEN 'ready' THEN 'warning' WHEN 'missing' THEN 'fatal' ELSE 'error' END AS severity FROM o WHERE outcome <> 'ready' OR stale""")
+def check_snapshot(spark, d):
+    """Customers as indexes, each with what loading it gave."""
+    c = _t(spark, d, "customer")
+    outcome = F.get(F.array(*map(F.lit, _OUTCOMES)), (F.col("c_custkey") % len(_OUTCOMES)).cast("int"))
+    seen = c.select(F.col("c_custkey").cast("string").alias("path"), outcome.alias("outcome"), F.when(F.col("c_acctbal") < 0, "stale").otherwise("fresh").alias("label"))
+    return checks.snapshot_diagnostics(seen).select("path", "rule_id", "actual", "severity")
+
+
+@query("""WITH p AS (SELECT 'd' || p_partkey || '/MAP.md' AS path, p_partkey % 13 AS k FROM part)
+  SELECT path, CASE WHEN k IN (1, 10) THEN '0103_MAP_STALE' WHEN k IN (2) THEN '0101_MAP_MISSING' WHEN k IN (3, 4, 5, 6, 12) THEN '0106_MAP_NOT_WRITABLE' ELSE '0102_MAP_INVALID' END AS rule_id,
+  CASE k WHEN 3 THEN 'symlink' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'merge-conflict' WHEN 6 THEN 'not-owned' WHEN 7 THEN 'frontmatter' WHEN 8 THEN 'unsupported-format' WHEN 9 THEN 'purpose' WHEN 11 THEN 'generated-edited' WHEN 12 THEN 'case-collision' END AS actual FROM p WHERE k <> 0""")
+def check_artifacts(spark, d):
+    """Pages of directories, a part each: intact, stale, missing, or in conflict in each of nine ways."""
+    p = _t(spark, d, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/MAP.md")).alias("path"), (F.col("p_partkey") % 13).alias("k"), F.col("p_name").alias("name"))
+    k = F.col("k")
+    body = lambda purpose: F.concat(F.lit("# d\n\n"), purpose, F.lit("\n\n"))
+    page = lambda b, form="2": F.concat(F.lit(f"---\nformat: {form}\ndigest: "), F.sha2(b, 256), F.lit("\n---\n"), b)
+    good, other = body(F.col("name")), body(F.concat("name", F.lit(" more")))
+    text = (
+        F.when(k.isin(1, 10), page(other)).when(k == 5, F.concat(page(good), F.lit("<<<<<<< ours\n"))).when(k == 6, F.lit("# mine\n")).when(k == 7, F.regexp_replace(page(good), "digest", "sum"))
+        .when(k == 8, page(good, "1")).when(k == 9, page(body(F.repeat(F.lit("x"), 161)))).when(k == 11, F.concat(page(good), F.lit("x"))).when(k != 4, page(good))
+    )
+    planned = p.select("path", F.sha2(good, 256).alias("digest"))
+    there = p.where(k != 2).select(F.when(k == 12, F.upper("path")).otherwise(F.col("path")).alias("path"), F.sha2(F.when(k.isin(1, 10), other).otherwise(good), 256).alias("digest"), F.lit(True).alias("owned"), scopes.conflict_reason(text, k == 3).alias("reason"))
+    return checks.artifact_diagnostics(scopes.compare_generation(planned, there), "map").select("path", "rule_id", "actual")
+
+
+@query("SELECT p_name || p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN 'miss' WHEN p_partkey % 7 = 0 THEN 'corrupt' ELSE 'hit' END AS outcome FROM part")
+def cache_outcomes(spark, d):
+    """Parts as files, two thirds of them with stored facts, some damaged."""
+    p = _t(spark, d, "part").withColumn("oid", F.col("p_partkey").cast("string")).withColumn("lang", F.lit("rust"))
+    k = F.col("p_partkey")
+    entries = p.where(k % 3 != 0).select("oid", "lang", F.lit("x").alias("extractor"), F.lit(1).alias("schema"), F.when(k % 7 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name")).alias("payload"), F.sha2("p_name", 256).alias("checksum"))
+    return store.cache_outcomes(p.select(F.concat("p_name", "oid").alias("path"), "oid", "lang"), entries, "x", 1)
+
+
 _VERDICT = """v AS (SELECT CASE WHEN quality = 1 THEN 'answerable' ELSE 'must-abstain' END AS ex, doc_id % 5 <> 0 AS permitted, doc_id % 3 = 0 AS direct, CASE WHEN quality = 1 THEN CAST(doc_id % 6 + 1 AS BIGINT) END AS acc, CASE WHEN toxic = 1 THEN CAST(doc_id % 4 + 1 AS BIGINT) END AS forb FROM labels),
   h AS (SELECT *, coalesce(acc <= 1, false) AND (forb IS NULL OR coalesce(forb > acc, false)) AS h1, coalesce(acc <= 3, false) AND (forb IS NULL OR coalesce(forb > acc, false)) AS h3 FROM v)"""
 
@@ -687,10 +728,15 @@ def routing_metrics(spark, d):
     return quality.routing_metrics(_verdicts(spark, d))
 
 
-@query(f"{_METRICS} SELECT unnest(list_filter([CASE WHEN top3 * 40 < answerable * 36 THEN 'top3-below-floor' END, CASE WHEN false_directs > 0 THEN 'false-directs' END, CASE WHEN kept_back < must_abstain THEN 'required-abstention-missed' END], lambda x: x IS NOT NULL)) AS failure FROM c")
+@query(f"""{_METRICS}, f AS (SELECT unnest([CASE WHEN answerable <> 40 THEN 'oracle-under-sized' END, CASE WHEN top3 * 40 < answerable * 36 OR answerable = 0 THEN 'top3-below-gate' END, CASE WHEN false_directs > 0 THEN 'false-direct' END, CASE WHEN false_directs <> 0 THEN 'direct-precision-below-one' END,
+    CASE WHEN kept_back <> must_abstain THEN 'required-abstention-below-one' END, CASE WHEN top1 + 1 < 1000000 THEN 'top1-regressed-beyond-slack' END, CASE WHEN EXISTS (FROM labels WHERE doc_id % 97 = 0) THEN 'safety-case-failed' END,
+    CASE WHEN EXISTS (FROM orders WHERE CAST(o_totalprice AS BIGINT) * 10 > 150000 * 11 AND CAST(o_totalprice * 0.9 AS BIGINT) * 20 > 150000 * 21) THEN 'performance-regression' END,
+    CASE WHEN NOT EXISTS (FROM labels) OR NOT EXISTS (FROM orders) THEN 'evidence-missing' END]) AS failure FROM c)
+  SELECT failure FROM f WHERE failure IS NOT NULL""")
 def release_gate(spark, d):
-    """What stops a release with these metrics."""
-    return quality.release_gate(quality.routing_metrics(_verdicts(spark, d)))
+    """What stops a release with these metrics, safety cases and performance cases."""
+    safety = _t(spark, d, "labels").select((F.col("doc_id") % 97 != 0).alias("passed"))
+    return quality.release_gate(quality.routing_metrics(_verdicts(spark, d)), safety, performance_gate(spark, d), 1_000_000)
 
 
 @query("""WITH c AS (SELECT quality = 1 AS yes, CAST(n_chars AS BIGINT) AS score FROM labels JOIN documents USING (doc_id)), p AS (SELECT score, count_if(yes) AS y, count_if(NOT yes) AS n FROM c GROUP BY ALL),

@@ -84,3 +84,14 @@ def split_by_cache(files: DataFrame, facts: DataFrame | None, extractor: str, sc
     keys = ["oid", "lang", "extractor", "schema"]
     have = facts.select(*keys).distinct()
     return keyed.join(have, keys, "left_semi"), keyed.join(have, keys, "left_anti")
+
+
+def cache_outcomes(files: DataFrame, entries: DataFrame, extractor: str, schema: int = SCHEMA_VERSION) -> DataFrame:
+    """path, outcome (hit, miss, corrupt) of files (path, oid, lang) against stored entries (oid, lang, extractor, schema, payload, checksum).
+
+    An entry is corrupt if its payload isn't what its SHA-256 says; of repeated entries one sound one is enough.
+    """
+    sound = F.coalesce(F.sha2("payload", 256) == F.col("checksum"), F.lit(False))
+    have = entries.where((F.col("extractor") == extractor) & (F.col("schema") == schema)).groupBy("oid", "lang").agg(F.max(sound).alias("__sound"))
+    outcome = F.when(F.col("__sound"), "hit").when(~F.col("__sound"), "corrupt").otherwise("miss")
+    return files.join(have, ["oid", "lang"], "left").select("path", outcome.alias("outcome"))

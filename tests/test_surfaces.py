@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex import extract
-from loomdex.operators import checks, routes, scopes
+from loomdex.operators import checks, quality, routes, scopes
 from loomdex.sources import store, synthetic, tree
 
 
@@ -65,11 +65,60 @@ def test_checks(spark):
     one = spark.createDataFrame([("a",)], "path string")
     assert checks.counts(checks.emit(one, "0004_SNAPSHOT_STALE", "x")).first().exit_code == 1
     assert checks.counts(checks.union(checks.emit(one, "0004_SNAPSHOT_STALE", "x"), checks.emit(one, "0102_MAP_INVALID", "x"))).first().exit_code == 3
-    assert checks.counts(checks.emit(one, "0001_SNAPSHOT_MISSING", "x")).first().exit_code == 4
+    gone = checks.counts(checks.emit(one, "0001_SNAPSHOT_MISSING", "x")).first()
+    assert (gone.fatal, gone.status, gone.exit_code) == (1, "snapshot-missing", 4)
     assert len(checks.RULES) == 18 and not set(checks.RULES) & set(checks.RESERVED)
     assert '"warnings": 1' in checks.render_json(checks.emit(one, "0004_SNAPSHOT_STALE", "x"))
 
 
+def test_every_rule_has_an_emitter(spark):
+    seen = spark.createDataFrame([("a", "missing", None), ("b", "bad-magic", None), ("c", "lexical-mismatch", None), ("d", "ready", "stale"), ("e", "ready", "fresh"), ("f", "missing", "stale"), ("g", None, None)], "path string, outcome string, label string")
+    states = spark.createDataFrame([("a", "missing", None), ("b", "stale", None), ("c", "conflict", "frontmatter"), ("d", "conflict", None), ("e", "fresh", None)], "path string, state string, reason string")
+    pages = spark.createDataFrame([("s", "api", True), ("s", "tests", True), ("t", "api", False)], "scope string, section string, over boolean")
+    ignores = spark.createDataFrame([("i", "managed-ignore"), ("j", None)], "path string, reason string")
+    faults = spark.createDataFrame([("r", "header"), ("q", None)], "path string, fault string")
+    cache = spark.createDataFrame([("x", "corrupt"), ("y", "hit")], "path string, outcome string")
+    learned = spark.createDataFrame([("k", "gone", "m", "old", 0.5)], routes.SCHEMA)
+    anchors, ids = spark.createDataFrame([("a",)], "anchor string"), spark.createDataFrame([("m", "new")], "map string, api_identity string")
+    every = checks.union(
+        checks.snapshot_diagnostics(seen), checks.artifact_diagnostics(states, "map"), checks.artifact_diagnostics(states, "symbols"), checks.budget_diagnostics(pages),
+        checks.ignore_diagnostics(ignores), checks.fault_diagnostics(faults), checks.cache_diagnostics(cache), checks.route_diagnostics(learned, anchors, ids),
+    )
+    got = [r.rule_id for r in checks.ordered(every).collect()]
+    assert set(got) == set(checks.RULES) and got[:2] == ["0001_SNAPSHOT_MISSING"] * 2 and got.count("0104_MAP_OVER_BUDGET") == 1
+
+
+def test_conflicts(spark):
+    page = scopes.render_map("a", "loads tokens", [], [], [])
+    cases = {
+        None: page, "symlink": page, "unreadable": None, "merge-conflict": page + "<<<<<<< ours\n", "not-owned": "# a\n", "frontmatter": page.replace("digest", "sum"),
+        "unsupported-format": page.replace("format: 2", "format: 1"), "purpose": scopes.render_map("a", "x" * 161, [], [], []), "generated-edited": page.replace("loads", "eats"),
+    }
+    df = spark.createDataFrame([(why, text, why == "symlink") for why, text in cases.items()], "why string, text string, link boolean")
+    assert all(r.why == r.got for r in df.select("why", scopes.conflict_reason("text", F.col("link")).alias("got")).collect())
+    first, last = scopes.BLOCK
+    blocks = spark.createDataFrame([(f"{first}\nx\n{last}", None), ("x", None), ("", None), (f"{first}\n", "managed-ignore"), (f"{last}\n{first}", "managed-ignore"), (f"{first}\n{last}\n{first}\n{last}", "managed-ignore")], "text string, why string")
+    assert all(r.why == r.got for r in blocks.select("why", scopes.ignore_reason("text").alias("got")).collect())
+    planned, present = spark.createDataFrame([("A/MAP.md", "1")], "path string, digest string"), spark.createDataFrame([("a/map.md", "1", True)], "path string, digest string, owned boolean")
+    assert {(r.path, r.state, r.reason) for r in scopes.compare_generation(planned, present).collect()} == {("A/MAP.md", "conflict", "case-collision"), ("a/map.md", "removable", None)}
+
+
+def test_index_hash_sees_lines(spark):
+    rows = spark.createDataFrame([("s", "f", 1), ("s", "g", 2)], "scope string, qualified string, start_line long")
+    one = scopes.index_hash(512, "complete", {"api": rows})
+    assert one == scopes.index_hash(512, "complete", {"api": rows.orderBy(F.desc("start_line")).select("start_line", "scope", "qualified")})
+    assert len({one, scopes.index_hash(513, "complete", {"api": rows}), scopes.index_hash(512, "tags", {"api": rows}), scopes.index_hash(512, "complete", {"api": rows.withColumn("start_line", F.col("start_line") + 1)}), scopes.index_hash(512, "complete", {"tests": rows})}) == 5
+
+
+def test_release_gate_without_evidence(spark):
+    verdicts = spark.range(40).select(F.lit("answerable").alias("expectation"), F.lit(True).alias("direct_permitted"), F.lit(True).alias("answered_direct"), F.lit(1).alias("accepted_rank"), F.lit(None).cast("int").alias("forbidden_rank"))
+    m, ok, fast = quality.routing_metrics(verdicts), spark.sql("select true as passed"), spark.sql("select false as blocked")
+    of = lambda *a: {r.failure for r in quality.release_gate(*a).collect()}
+    assert of(m, ok, fast) == set() and of(m, ok, fast, 41) == set() and of(m, ok, fast, 42) == {"top1-regressed-beyond-slack"}
+    assert of(m, ok.limit(0), fast) == of(m, ok, fast.limit(0)) == of(m.limit(0), ok, fast) == {"evidence-missing"}
+    assert of(quality.routing_metrics(verdicts.limit(39)), spark.sql("select cast(null as boolean) as passed"), fast) == {"oracle-under-sized", "safety-case-failed"}
+
+
 RUST = '''//! top
 use crate::{auth::{self, Token as Tok}, db::*};
 /// Loads it.
