@@ -104,16 +104,22 @@ def strip_punctuation(word: str) -> str:
         word = shorter
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b without its fraction, by integers: a decimal quotient has six places at these widths, and rounds up just below a whole number."""
+    return F.call_function("div", a, b)
+
+
 def six_decimals(c: Column | str) -> Column:
     """Millionths as a decimal number."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.format_string("%d.%06d", F.floor(c / 1_000_000), F.pmod(c.cast("long"), F.lit(1_000_000)))
+    c = (F.col(c) if isinstance(c, str) else c).cast("long")
+    rest = F.pmod(c, F.lit(1_000_000))
+    return F.format_string("%d.%06d", quotient(c - rest, F.lit(1_000_000)), rest)
 
 
 def ratio_ppm(part: Column, whole: Column) -> Column:
     """part / whole in millionths, half up; null where whole is 0."""
     p, w = part.cast("decimal(38,0)"), whole.cast("decimal(38,0)")
-    return F.when(whole != 0, F.floor((p * 2_000_000 + w) / (w * 2)).cast("long"))
+    return F.when(whole != 0, quotient(p * 2_000_000 + w, w * 2))
 
 
 def at_least(part: Column, whole: Column, num: int, den: int) -> Column:

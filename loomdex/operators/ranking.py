@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexing import quotient
 from ..sources.lineage import cut
 
 # Boost and length normalisation of each field.
@@ -112,7 +113,7 @@ def ranked(collapsed: DataFrame, profile: Profile = Profile()) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "symbol_id")
     second = F.coalesce(F.lead("score").over(order), F.lit(0))
     top = collapsed.withColumn("rank", F.row_number().over(order)).withColumn("second", second).where(F.col("rank") <= profile.shown)
-    margin = F.when(F.col("score") > 0, F.floor((F.col("score") - F.col("second")).cast("decimal(38,0)") * 1_000_000 / F.col("score")).cast("long")).otherwise(0)
+    margin = F.when(F.col("score") > 0, quotient((F.col("score") - F.col("second")).cast("decimal(38,0)") * 1_000_000, F.col("score"))).otherwise(0)
     return top.withColumn("margin_ppm", margin).drop("second")
 
 

@@ -75,6 +75,13 @@ def test_cap_and_tie(spark):
     assert (e.union_size, e.scored, e.dropped, e.terms) == (70, 64, 6, 1)
 
 
+def test_margin_just_below_a_whole_number(spark):
+    score = 30_000_001
+    gap = -pow(10**6, -1, score) % score
+    rows = spark.createDataFrame([(1, 1, score, "a", "x"), (1, 2, score - gap, "b", "y")], "query_id long, symbol_id long, score long, path string, name string")
+    assert ranking.ranked(rows).where("rank = 1").first().margin_ppm == gap * 10**6 // score
+
+
 def test_decisions(spark):
     rows = [(1, 10, 40_000_000, 1, 1_000_000), (2, 11, 30_800_000, 1, 100), (2, 12, 30_790_000, 2, 0), (3, 13, 1000, 1, 1_000_000)]
     top = spark.createDataFrame(rows, "query_id long, symbol_id long, score long, rank int, margin_ppm long")

@@ -45,6 +45,14 @@ def test_numbers(spark):
     assert not h.first().same
 
 
+def test_quotients_just_below_a_whole_number(spark):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(296_169, 2_946_706), (139_414, 1_496_589), (3 * 10**8, 9 * 10**8 - 1), (1, 2_000_000), (0, 7), (big, 2**40 + 1)], "p long, w long")
+    got = rows.select("p", "w", lexing.ratio_ppm(F.col("p"), F.col("w")).alias("r"), lexing.six_decimals("p").alias("s"), lexing.six_decimals(F.col("w") * 1_000_000 - 1).alias("t")).collect()
+    for r in got:
+        assert (r.r, r.s, r.t) == ((r.p * 2_000_000 + r.w) // (2 * r.w), f"{r.p // 10**6}.{r.p % 10**6:06d}", f"{r.w - 1}.999999")
+
+
 def test_anchor_round_trip(spark):
     for t in ["a#b%c", "tab\there", "plain", "%25", "\x01\x7f"]:
         e = one(spark, encoding.encode_anchor("t"), t=t)
