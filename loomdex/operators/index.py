@@ -84,32 +84,84 @@ def absolute(module: Column, path: Column, sep: str = "::") -> Column:
     return F.array_join(F.concat(m, rest), sep)
 
 
-def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """ref_id, resolution (resolved, ambiguous, unresolved), target, candidates.
+def _classes(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """*keys, least, n: the symbols (target) of each key as classes with the same keys, named by their least symbol. No two classes
+    have a symbol in common, so sizes add up over classes."""
+    sets = pairs.dropna(subset=keys).groupBy("target").agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("__keys"))
+    each = sets.groupBy("__keys").agg(F.count("target").alias("n"), F.min("target").alias("least"))
+    return each.select(F.explode("__keys").alias("__k"), "least", "n").select("__k.*", "least", "n")
+
+
+def _lookup(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """*keys, key (a number), n, least: a row for each key, stored, so that Spark knows how small it is."""
+    return cut(counts.select(*keys, F.monotonically_increasing_id().alias("key"), "n", "least"))
+
+
+def _bit(name: Column | str) -> Column:
+    """One of 64 bits for a name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(name), F.lit(64)).cast("int"))
+
+
+#: Stages of a resolution: qualified path, import, enclosing scope (plus its depth), module.
+_PATH, _IMPORT, _SCOPE, _MODULE = 1, 2, 3, 1000
+
+
+def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """ref_id, resolution (resolved, ambiguous, unresolved), target, candidates, and the columns of references in keep.
 
     references: ref_id, file, module (array), owner (symbol_id or null), name, qualified (or null), kind. Methods stay
     unresolved. symbols: symbol_id, file, module, parent, name, qualified. imports: file, module, path, leaf, alias, kind,
     is_glob; only use imports that aren't globs count. The first stage with a candidate decides: the written qualified path,
     imports of the file by leaf or alias, the innermost enclosing scope that defines the name, then the module.
+
+    Candidates are counted once for each key that a stage looks up, and references meet the counts: a name that many symbols
+    share isn't multiplied by its references. Rows with one ref_id are decided together; those that look up different keys
+    in the deciding stage unite the classes of their symbols.
     """
-    refs = references.where("kind <> 'method'").withColumn("mod", F.array_join("module", "::"))
-    named = symbols.select(F.col("symbol_id").alias("target"), F.col("qualified").alias("q"))
-    one = refs.where("qualified is not null").withColumn("q", absolute(F.col("module"), F.col("qualified"))).join(named, "q").select("ref_id", "target", F.lit(1).alias("stage"))
+    keep = keep or []
+    pairs = {
+        _PATH: (symbols.select(F.col("symbol_id").alias("target"), F.col("qualified").alias("q")), ["q"]),
+        _SCOPE: (symbols.where("parent is not null").select(F.col("parent").alias("ancestor"), "name", F.col("symbol_id").alias("target")), ["ancestor", "name"]),
+        _MODULE: (symbols.where("parent is null").select(F.array_join("module", "::").alias("mod"), "name", F.col("symbol_id").alias("target")), ["mod", "name"]),
+    }
+    looks = {s: _lookup(df.dropna(subset=k).groupBy(*k).agg(F.countDistinct("target").alias("n"), F.min("target").alias("least")), k) for s, (df, k) in pairs.items()}
     use = imports.where("kind = 'use' and not is_glob").select("file", F.explode(F.array_distinct(F.array_compact(F.array("leaf", "alias")))).alias("name"), absolute(F.col("module"), F.col("path")).alias("q")).distinct()
-    two = refs.where("qualified is null").join(use, ["file", "name"]).join(named, "q").select("ref_id", "target", F.lit(2).alias("stage"))
-    up = ancestors(symbols)
-    inner = symbols.where("parent is not null").select(F.col("parent").alias("ancestor"), "name", F.col("symbol_id").alias("target"))
-    three = refs.where("qualified is null and owner is not null").join(up, refs.owner == up.symbol_id).select("ref_id", "name", "ancestor", "depth").join(inner, ["ancestor", "name"])
-    near = Window.partitionBy("ref_id").orderBy("depth")
-    three = three.withColumn("r", F.rank().over(near)).where("r = 1").select("ref_id", "target", F.lit(3).alias("stage"))
-    mates = symbols.where("parent is null").select(F.array_join("module", "::").alias("mod"), "name", F.col("symbol_id").alias("target"))
-    four = refs.where("qualified is null").join(mates, ["mod", "name"]).select("ref_id", "target", F.lit(4).alias("stage"))
-    every = one.union(two).union(three).union(four)
-    best = every.withColumn("r", F.rank().over(Window.partitionBy("ref_id").orderBy("stage"))).where("r = 1")
-    best = best.groupBy("ref_id").agg(F.countDistinct("target").alias("candidates"), F.min("target").alias("target"))
-    out = references.select("ref_id").join(best, "ref_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
-    label = F.when(F.col("candidates") == 0, "unresolved").when(F.col("candidates") == 1, "resolved").otherwise("ambiguous")
-    return out.select("ref_id", label.alias("resolution"), F.when(F.col("candidates") == 1, F.col("target")).alias("target"), "candidates")
+    # a name may stand for several paths, and paths for the same symbols
+    used = cut(use.join(_classes(*pairs[_PATH]), "q").select("file", "name", "least", "n").distinct())
+    looks[_IMPORT] = _lookup(used.groupBy("file", "name").agg(F.sum("n").alias("n"), F.min("least").alias("least")), ["file", "name"])
+
+    plain = "ref_id is not null and kind <> 'method'"
+    bare = references.where(f"{plain} and qualified is null")
+    found = lambda s: F.struct(F.lit(s).alias("stage"), "key", "n", "least").alias(f"f{s}")
+    row = lambda df, own, f: df.select("ref_id", *[(F.col(c) if own else F.lit(None).cast(references.schema[c].dataType)).alias(c) for c in keep], F.lit(own).alias("own"), f.alias("f"))
+    none = references.where(f"not coalesce({plain}, false)")
+    one = references.where(f"{plain} and qualified is not null").withColumn("q", absolute(F.col("module"), F.col("qualified"))).join(looks[_PATH].select("q", found(_PATH)), "q", "left")
+    two = bare.withColumn("mod", F.array_join("module", "::")).join(looks[_IMPORT].select("file", "name", found(_IMPORT)), ["file", "name"], "left").join(looks[_MODULE].select("mod", "name", found(_MODULE)), ["mod", "name"], "left")
+    # scopes matter where no import of the file decides; bits of the names in a scope keep most others from the join, which is exact
+    bits = looks[_SCOPE].groupBy("ancestor").agg(F.bit_or(_bit("name")).alias("bits"))
+    up = ancestors(symbols.select("symbol_id", "parent").distinct()).join(bits, "ancestor").withColumnRenamed("symbol_id", "owner")
+    three = bare.where("owner is not null").join(looks[_IMPORT].select("file", "name"), ["file", "name"], "left_anti").select("ref_id", "owner", "name").join(up, "owner").where(F.col("bits").bitwiseAND(_bit("name")) != 0)
+    three = three.select("ref_id", "name", "ancestor", "depth").join(looks[_SCOPE], ["ancestor", "name"])
+    hit = F.struct((F.lit(_SCOPE) + F.col("depth")).alias("stage"), "key", "n", "least")
+    every = row(one, True, F.col(f"f{_PATH}")).union(row(two, True, F.coalesce(f"f{_IMPORT}", f"f{_MODULE}"))).union(row(three, False, hit))
+    every = row(none, True, F.lit(None).cast(every.schema["f"].dataType)).union(every).select("ref_id", *keep, "own", "f.*")
+
+    same = Window.partitionBy("ref_id")
+    every = every.withColumn("lo", F.min(F.when(F.col("stage").isNotNull(), F.struct("stage", "key", "n", "least"))).over(same))
+    every = every.withColumn("hi", F.max(F.when(F.col("stage") == F.col("lo.stage"), F.col("key"))).over(same)).withColumn("mixed", F.coalesce(F.col("lo.key") != F.col("hi"), F.lit(False)))
+    every = cut(every.where("own or (mixed and stage = lo.stage)").select("ref_id", *keep, "own", "mixed", "stage", F.when(F.col("mixed"), F.col("key")).alias("key"), "lo"))
+    out = every.where("not mixed").select("ref_id", *keep, F.col("lo.stage").alias("first"), "lo.n", "lo.least")
+    if not every.where("mixed").isEmpty():
+        members = used.join(looks[_IMPORT].select("file", "name", "key"), ["file", "name"]).select(F.lit(_IMPORT).alias("by"), "key", "least", "n")
+        for s, (df, k) in pairs.items():
+            members = members.union(_classes(df, k).join(looks[s].select(*k, "key"), k).select(F.lit(s).alias("by"), "key", "least", "n"))
+        by = F.when(F.col("stage").between(_SCOPE, _MODULE - 1), _SCOPE).otherwise(F.col("stage"))
+        asked = every.where("mixed and stage = lo.stage").select("ref_id", by.alias("by"), "key").distinct()
+        united = asked.join(members, ["by", "key"]).select("ref_id", "least", "n").distinct().groupBy("ref_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        out = out.union(every.where("mixed and own").select("ref_id", *keep, F.col("lo.stage").alias("first")).join(united, "ref_id").select("ref_id", *keep, "first", "n", "least"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    label = F.when(F.col("first").isNull(), "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
+    return out.select("ref_id", *keep, label.alias("resolution"), F.when(n == 1, F.col("least")).alias("target"), n.alias("candidates"))
 
 
 def resolve_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -105,3 +105,68 @@ def test_calibration(spark):
     for bad in ('{"a": 1, "b": 2}', '{"a": 1} x', '{"a": true}', "[]"):
         with pytest.raises(ValueError):
             quality.decode_strict(bad, {"a": int})
+
+
+def _shuffled(spark, run):
+    """Rows that all stages of run() write to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    done = stages()
+    return out, sum(done.apply(k).shuffleWriteRecords() for k in range(done.size()) if done.apply(k).stageId() not in before)
+
+
+REFERENCES = "ref_id long, file string, module array<string>, owner long, name string, qualified string, kind string"
+IMPORTS = "file string, module array<string>, path string, leaf string, alias string, kind string, is_glob boolean"
+
+
+def test_shared_names_are_not_multiplied(spark):
+    n = 1000
+    symbols = spark.createDataFrame([(k, "a.rs", ["a"], None, "run", "a::run") for k in range(n)] + [(n + k, "a.rs", ["a"], 0, "go", "a::run::go") for k in range(n)], SYMBOLS)
+    refs = [(4 * k, "a.rs", ["a"], None, "run", "crate::a::run", "call") for k in range(n)] + [(4 * k + 1, "b.rs", ["b"], None, "alias", None, "call") for k in range(n)]
+    refs += [(4 * k + 2, "a.rs", ["a"], 0, "go", None, "call") for k in range(n)] + [(4 * k + 3, "a.rs", ["a"], None, "run", None, "call") for k in range(n)]
+    imports = spark.createDataFrame([("b.rs", ["b"], "crate::a::run", "run", "alias", "use", False)], IMPORTS)
+    rows, shuffled = _shuffled(spark, lambda: index.resolve(spark.createDataFrame(refs, REFERENCES), symbols, imports).collect())
+    assert sorted((r.ref_id, r.resolution, r.target, r.candidates) for r in rows) == [(k, "ambiguous", None, n) for k in range(4 * n)]
+    assert shuffled < 100 * n
+
+
+def test_resolution_by_brute_force(spark):
+    """Several rows of a ref_id, several names of a symbol and several paths of an import unite distinct symbols."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(2):
+        symbols = [(k, f"f{k % 3}", [f"m{rng.randrange(3)}"], rng.choice([None, *range(k)]) if k else None, f"n{rng.randrange(4)}") for k in [*range(40), *rng.choices(range(40), k=20)]]
+        parent = {}
+        symbols = [(k, f, m, parent.setdefault(k, p), n, f"{m[0]}::{n}") for k, f, m, p, n in symbols]
+        refs = [(rng.randrange(150), f"f{rng.randrange(3)}", [f"m{rng.randrange(3)}"], rng.choice([None, rng.randrange(40)]), f"n{rng.randrange(6)}", rng.choice([None, None, None, f"crate::m{rng.randrange(4)}::n{rng.randrange(4)}"]), rng.choice(["call", "call", "type", "method"])) for _ in range(300)]
+        imports = [(f"f{rng.randrange(3)}", ["top"], f"crate::m{rng.randrange(4)}::n{rng.randrange(4)}", f"n{rng.randrange(6)}", rng.choice([None, f"n{rng.randrange(6)}"]), rng.choice(["use", "include"]), rng.random() < 0.2) for _ in range(12)]
+
+        def hits(r):
+            _, file, module, owner, name, qualified, kind = r
+            if kind == "method":
+                return
+            if qualified:
+                yield from ((1, s[0]) for s in symbols if f"crate::{s[5]}" == qualified)
+                return
+            for i in imports:
+                if i[0] == file and name in (i[3], i[4]) and i[5] == "use" and not i[6]:
+                    yield from ((2, s[0]) for s in symbols if f"crate::{s[5]}" == i[2])
+            yield from ((999, s[0]) for s in symbols if s[3] is None and (s[2], s[4]) == (module, name))
+            at, depth = owner, 0
+            while at is not None:
+                yield from ((3 + depth, s[0]) for s in symbols if s[3] == at and s[4] == name)
+                at, depth = parent[at], depth + 1
+
+        want = []
+        every = {}
+        for r in refs:
+            every.setdefault(r[0], []).extend(hits(r))
+        for r in refs:
+            ids = {t for s, t in every[r[0]] if s == min(every[r[0]])[0]}
+            want.append((r[0], r[6], "resolved" if len(ids) == 1 else "ambiguous" if ids else "unresolved", next(iter(ids)) if len(ids) == 1 else -1, len(ids)))
+        got = index.resolve(spark.createDataFrame(refs, REFERENCES), spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(imports, IMPORTS), ["kind"]).collect()
+        assert sorted((r.ref_id, r.kind, r.resolution, -1 if r.target is None else r.target, r.candidates) for r in got) == sorted(want)
