@@ -375,7 +375,7 @@ _RESOLVED = f"""{_NAMES},
 def name_resolution(spark, d):
     """What each written name means: by qualified path, import, enclosing scope or module."""
     sym, refs, imps = _names(spark, d)
-    return index.resolve(refs, sym, imps).withColumn("candidates", F.col("candidates").cast("long"))
+    return index.resolve(refs, sym, imps)
 
 
 @query(f"WITH {_RESOLVED} SELECT id AS import_id, resolution, target, candidates FROM ires")
@@ -400,7 +400,7 @@ def import_edges(spark, d):
 def resolution_counts(spark, d):
     """Counts of what the names and imports of each file come to."""
     sym, refs, imps = _names(spark, d)
-    r = index.resolve(refs, sym, imps).join(refs.select("ref_id", "o_orderstatus", "file", "kind"), "ref_id")
+    r = index.resolve(refs, sym, imps, ["o_orderstatus", "file", "kind"])
     r = r.select(F.col("file").alias("path"), F.when(F.col("o_orderstatus") == "F", "base").otherwise("target").alias("endpoint"), "kind", "resolution")
     i = index.resolve_imports(imps, sym).select(F.col("file").alias("path"), F.lit("target").alias("endpoint"), F.lit("import").alias("kind"), "resolution")
     return graph.observations(r.union(i))

@@ -38,3 +38,15 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert catalog.flagship(spark, SF).count() > 0
+
+
+def test_resolution_counts_of_repeated_orders(spark, tmp_path):
+    """A row of orders is counted once, however many rows have its key."""
+    c = duckdb.connect()
+    for t in ("part", "customer", "orders"):
+        again = f" UNION ALL SELECT * FROM '{SF}/{t}.parquet' WHERE o_orderkey % 3 = 0" if t == "orders" else ""
+        c.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet'{again}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = catalog.QUERIES["resolution_counts"](spark, str(tmp_path)).toPandas(), c.execute(catalog.SQL["resolution_counts"]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
